@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from twinstring.llm.shared import plain, shared_dir
 
 END_ID = 2
-#: Words whose ids a worker remembers; beyond it the memory starts anew (some 100 MB).
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in two generations of this many (some 100 MB in all).
+REMEMBERED = 350_000
+#: Punctuation that never joins the letters or digits before it in one pre-token.
+_BEHIND = "!#$%&*+,-./:;=?@^_|~)]}"
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -36,6 +39,17 @@ ORC_OPTIONS = {
 FILES_BROADCAST = 200_000
 
 
+def _symbols() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: printable Latin-1 characters
+    stand for themselves, the others for 256 onwards, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SYMBOLS = _symbols()
+
+
 class Encoder:
     """A byte-level BPE tokenizer that encodes each distinct word once.
 
@@ -45,39 +59,71 @@ class Encoder:
     """
 
     def __init__(self, json: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0]
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters, with a space before them or not, from the model alone: they are one
+        pre-token, and the steps around the model would take most of the time. Ids of anything
+        else, which is rare, from the whole tokenizer."""
+        ids = self.known.get(part) or self.before.get(part)
+        if ids is None:
+            if part.isascii():
+                symbols = part.replace(" ", _SYMBOLS[32])
+            else:
+                symbols = part.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+            if part.removeprefix(" ").isalpha():
+                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            else:
+                ids = self._ids([part])[0]
+        self.known[part] = ids
+        return ids
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word that ``known`` lacks, put together from its letters and the punctuation
+        behind them, which is a pre-token of its own."""
+        ids = self.before.get(word)
+        if ids is None:
+            stem = word.rstrip(_BEHIND)
+            if 1 < len(stem) < len(word) and stem[-1].isalnum():
+                ids = self._part(stem) + self._part(word[len(stem) :])
+            else:
+                ids = self._part(word)
+        self.known[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         out: list[bytes | None] = []
-        todo: list[list[str] | None] = []
-        missing: dict[str, None] = {}
         for text in texts:
             pieces = self._pieces(text)
-            todo.append(pieces)
-            if pieces is not None:
-                missing.update((p, None) for p in set(pieces) if p not in known)
-        if missing:
-            new = list(missing)
-            known.update(zip(new, self._ids(new), strict=True))
-        known["\n"] = self.newline
-        whole = [t for t, pieces in zip(texts, todo, strict=True) if pieces is None]
+            if pieces is None:
+                out.append(None)
+                continue
+            ids = list(map(known.get, pieces))
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        ids[i] = known.get(pieces[i]) or self._learn(pieces[i])
+            out.append(b"".join(ids))
+        whole = [t for t, ids in zip(texts, out, strict=True) if ids is None]
         rest = iter(self._ids(whole)) if whole else iter(())
-        for pieces in todo:
-            out.append(next(rest) if pieces is None else b"".join([known[p] for p in pieces]))
-        return out
+        return [next(rest) if ids is None else ids for ids in out]
 
     @staticmethod
     def _pieces(text: str) -> list[str] | None:
