@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of long ids that may be broadcast (about 16 MB as a hash relation); checked by a count.
 BROADCAST_IDS = 500_000
+#: Rows of a batch that goes to Python: some megabytes of documents, twice per task.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +35,9 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: ``plain(docs, doc_id="long", text="string")``. Other
-    columns, whatever they are called, can clash with nothing afterwards."""
+    columns, whatever they are called, can clash with nothing afterwards. Every operator
+    starts here, so this also keeps the session's Arrow batches of documents small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(*[df[c].cast(t).alias(c) for c, t in columns.items()])
 
 

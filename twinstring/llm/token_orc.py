@@ -24,7 +24,7 @@ from twinstring.llm.shared import plain, shared_dir
 
 END_ID = 2
 #: Words whose ids a worker remembers, in two generations of this many (some 100 MB in all).
-REMEMBERED = 350_000
+REMEMBERED = 150_000
 #: Punctuation that never joins the letters or digits before it in one pre-token.
 _BEHIND = "!#$%&*+,-./:;=?@^_|~)]}"
 ORC_OPTIONS = {
@@ -50,6 +50,19 @@ def _symbols() -> dict[int, str]:
 _SYMBOLS = _symbols()
 
 
+class _Memory(dict):
+    """Ids of words; a word that it lacks is learnt when it is asked for."""
+
+    __slots__ = ("learn",)
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class Encoder:
     """A byte-level BPE tokenizer that encodes each distinct word once.
 
@@ -67,7 +80,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory(self._learn)
         self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -107,20 +120,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        known = self.known
+            self.before, self.known = self.known, _Memory(self._learn)
+        known = self.known.__getitem__  # learns a word that is missing
         out: list[bytes | None] = []
         for text in texts:
             pieces = self._pieces(text)
-            if pieces is None:
-                out.append(None)
-                continue
-            ids = list(map(known.get, pieces))
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        ids[i] = known.get(pieces[i]) or self._learn(pieces[i])
-            out.append(b"".join(ids))
+            out.append(None if pieces is None else b"".join(map(known, pieces)))
         whole = [t for t, ids in zip(texts, out, strict=True) if ids is None]
         rest = iter(self._ids(whole)) if whole else iter(())
         return [next(rest) if ids is None else ids for ids in out]
@@ -190,6 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     [part.column(0), pa.array(first), pa.array(n), pa.ListArray.from_arrays(pa.array(off), flat)],
                     ["doc_id", "first", "n_tokens", "ids"],
                 )
+        encoder.before = {}  # the worker lives on
 
     ordered = plain(docs, doc_id="long", text="string").repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
