@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import crc_mod, plain, stash
+from twinstring.llm.shared import crc_mod, freed, plain, stash
 from twinstring.llm.words import PUNCTUATION, Block, Lookup, blocks, lists, signed
 
 #: Words that are units of their own; shapes of all others; classes.
@@ -68,7 +68,7 @@ def _count_words(train: DataFrame) -> DataFrame:
                 ["h", "shape", "n"],
             )
 
-    words = train.select("text").mapInArrow(run, "h long, shape int, n long")
+    words = train.select("text").mapInArrow(freed(run), "h long, shape int, n long")
     return words.groupBy("h", "shape").agg(F.sum("n").alias("n"))
 
 
@@ -119,7 +119,7 @@ def _count_pairs(train: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 [pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"]
             )
 
-    pairs = train.select("text").mapInArrow(run, "pair int, n long").groupBy("pair")
+    pairs = train.select("text").mapInArrow(freed(run), "pair int, n long").groupBy("pair")
     got = pairs.agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
@@ -231,7 +231,7 @@ def _partial(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return stash(rows.mapInArrow(run, _PARTIAL), "scored")
+    return stash(rows.mapInArrow(freed(run), _PARTIAL), "scored")
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import plain
+from twinstring.llm.shared import freed, plain
 from twinstring.llm.words import PUNCTUATION, Block, Lookup, blocks, chain, mix
 
 SIMILARITY = 0.8
@@ -252,7 +252,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "distance", "n_words", "end_word"],
                     )
 
-            hits = docs.mapInArrow(run, schema)
+            hits = docs.mapInArrow(freed(run), schema)
             out = hits if out is None else out.unionByName(hits)
     return out if out is not None else docs.limit(0).select(
         "doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).alias("n_words"), F.lit(0).cast("long").alias("end_word")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import plain, stash
+from twinstring.llm.shared import freed, plain, stash
 
 #: An element is template if so many pages of its host have it, and such a share of them. Pages
 #: of one article's copies stay below the share.
@@ -260,7 +260,7 @@ def templates(pages: DataFrame) -> DataFrame:
             )
 
     some = pages.where("host <> ''")
-    seen = some.select("host", "html").mapInArrow(run, "host string, hash long")
+    seen = some.select("host", "html").mapInArrow(freed(run), "host string, hash long")
     common = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
     total = some.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     return (
@@ -294,4 +294,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return both.mapInArrow(freed(run), "page_id long, url string, text string, n_chars long")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import crc_mod, plain, stash
+from twinstring.llm.shared import crc_mod, freed, plain, stash
 from twinstring.llm.words import BLOCK_BYTES, LOWER, lists, text_column
 
 #: Labelled documents per language that are trained on at most, those of least hash.
@@ -169,7 +169,7 @@ def _sparse(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select("lang", "text").mapInArrow(
-        run, "lang string, slots array<int>, values array<float>"
+        freed(run), "lang string, slots array<int>, values array<float>"
     )
 
 
@@ -231,7 +231,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    out = d.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = d.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, lang_pred string, score double")
     return out.select(
         "doc_id",
         F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 500_000
 #: Rows of a batch that goes to Python: some megabytes of documents, twice per task.
 BATCH_ROWS = 1000
+#: Bytes of such a batch at about most; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +43,29 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     columns, whatever they are called, can clash with nothing afterwards. Every operator
     starts here, so this also keeps the session's Arrow batches of documents small."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(*[df[c].cast(t).alias(c) for c, t in columns.items()])
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def freed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow that hands its memory back to the system when its task ends. The
+    worker lives on, and what its allocators keep would count beside the next stage's."""
+
+    def each(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):  # glibc has it
+                libc.malloc_trim(0)
+
+    return each
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``: the fold of a document."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % n

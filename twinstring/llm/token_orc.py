@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import plain, shared_dir
+from twinstring.llm.shared import freed, plain, shared_dir
 
 END_ID = 2
 #: Words whose ids a worker remembers, in two generations of this many (some 100 MB in all).
@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     ordered = plain(docs, doc_id="long", text="string").repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(encode, "doc_id long, first long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(freed(encode), "doc_id long, first long, n_tokens long, ids array<int>")
     encoded.write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -227,7 +227,7 @@ def describe_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     tokens = read_tokens(spark, path)
     rows = tokens.select(F.col("_metadata.file_name").alias("file"), "doc_id", "first", "ids")
-    rows = rows.mapInArrow(check, "file string, doc_id long, first long, n_tokens long, ids_crc32 long")
+    rows = rows.mapInArrow(freed(check), "file string, doc_id long, first long, n_tokens long, ids_crc32 long")
     files = (
         tokens.select(F.col("_metadata.file_name").alias("file"), "first", "n_tokens")
         .groupBy("file")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import crc_mod, plain, stash
+from twinstring.llm.shared import crc_mod, freed, plain, stash
 from twinstring.llm.words import PUNCTUATION, Block, Lookup, blocks, chain, lists, mix, signed
 
 #: Labelled documents that the model is fitted on at most, those of least hash.
@@ -170,7 +170,7 @@ def _units(sample: DataFrame) -> DataFrame:
                 ["toxic", "sketch", "doc_id", "units"],
             )
 
-    return sample.select("doc_id", "toxic", "text").mapInArrow(run, _UNITS)
+    return sample.select("doc_id", "toxic", "text").mapInArrow(freed(run), _UNITS)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -217,7 +217,7 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["s", "n"])
 
     rows = (
-        sample.where("toxic = 0").select("text").mapInArrow(neutral, "s float, n long")
+        sample.where("toxic = 0").select("text").mapInArrow(freed(neutral), "s float, n long")
         .groupBy("s").agg(F.sum("n").alias("n")).toArrow()
     )
     s, n = rows["s"].to_numpy(), rows["n"].to_numpy()
@@ -243,7 +243,7 @@ def _statistics(docs: DataFrame, model: Model, *also: str) -> DataFrame:
             )
 
     extra = "".join(f"{c} int, " for c in also)
-    return docs.select("doc_id", "text", *also).mapInArrow(run, f"doc_id long, {extra}stat double")
+    return docs.select("doc_id", "text", *also).mapInArrow(freed(run), f"doc_id long, {extra}stat double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

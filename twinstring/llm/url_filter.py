@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import plain
+from twinstring.llm.shared import freed, plain
 
 #: Rules that a trie holds, some 300 bytes each; longer lists are applied as several tries.
 TRIE_RULES = 200_000
@@ -124,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
                     names=batch.schema.names,
                 )
 
-        df = df.mapInArrow(run, schema)
+        df = df.mapInArrow(freed(run), schema)
     after = F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1)
     after = F.coalesce(after, F.lit(""))
     host = F.regexp_extract(after, r"(?s)^([^/?#]*)", 1)
