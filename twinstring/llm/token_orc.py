@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinstring.llm.shared import freed, plain, shared_dir
+from twinstring.llm.words import text_column
 
 END_ID = 2
-#: Words whose ids a worker remembers, in two generations of this many (some 100 MB in all).
-REMEMBERED = 150_000
+#: Pieces whose ids a worker remembers, in two generations of this many (some 130 MB in all).
+REMEMBERED = 200_000
 #: Punctuation that never joins the letters or digits before it in one pre-token.
 _BEHIND = "!#$%&*+,-./:;=?@^_|~)]}"
+_IS_BEHIND = np.array([chr(i) in _BEHIND for i in range(256)])
+_IS_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 ORC_OPTIONS = {
     "compression": "snappy",
     "orc.bloom.filter.columns": "doc_id",
@@ -117,47 +120,69 @@ class Encoder:
         self.known[word] = ids
         return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text, null as an empty one, as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, _Memory(self._learn)
-        known = self.known.__getitem__  # learns a word that is missing
-        out: list[bytes | None] = []
-        for text in texts:
-            pieces = self._pieces(text)
-            out.append(None if pieces is None else b"".join(map(known, pieces)))
-        whole = [t for t, ids in zip(texts, out, strict=True) if ids is None]
-        rest = iter(self._ids(whole)) if whole else iter(())
-        return [next(rest) if ids is None else ids for ids in out]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        """Words with the space before them, and line ends; None if white space is irregular."""
-        if not text:
-            return []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n":
-            return None
-        words = text.split()
-        if sum(map(len, words)) + text.count(" ") + text.count("\n") != len(text):
-            return None
-        if "\n" not in text:
-            out = [" " + w for w in words]
-            if text[0] != " ":
-                out[0] = words[0]
-            return out
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            if line:
-                spaced = line.split(" ")
-                if line[0] == " ":
-                    out.extend([" " + w for w in spaced[1:]])
-                else:
-                    out.append(spaced[0])
-                    out.extend([" " + w for w in spaced[1:]])
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        data, off = text_column(batch, "text")
+        data, off = data[off[0] : off[-1]], off - off[0]
+        odd = np.zeros(len(off) - 1, bool)
+        odd[np.searchsorted(off, _odd_space(data, off), "right") - 1] = True
+        out = self._by_words(data, off)
+        at = np.flatnonzero(odd)
+        for i, ids in zip(at, self._ids([column[int(i)].as_py() for i in at]) if len(at) else (), strict=True):
+            out[i] = ids
         return out
 
+    def _by_words(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of the texts, put together from the distinct pieces of all of them: a word with
+        the space before it, a line end, or one punctuation mark at the end of a word."""
+        n = len(data)
+        if n == 0:
+            return [b""] * (len(off) - 1)
+        ends = data == 10
+        space = (data == 32) | ends
+        start = space.copy()
+        start[1:] |= ends[:-1]
+        start[off[:-1][off[:-1] < n]] = True
+        last = np.append(start[1:], True)  # the last byte of a piece
+        start[1:] |= last[1:] & _IS_BEHIND[data[1:]] & _IS_ALNUM[data[:-1]]
+        at = np.flatnonzero(start)
+        bounds = pa.py_buffer(np.append(at, n).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, bounds, pa.py_buffer(data)])
+        pieces = pieces.dictionary_encode()
+        kind = pieces.indices.to_numpy()
+        # Pieces are asked for in order of appearance; the memory learns those that it lacks.
+        each = list(map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        first = np.cumsum(size) - size
+        n_ids = size[kind]
+        done = np.cumsum(n_ids)
+        ids = flat[np.repeat(first[kind] - done + n_ids, n_ids) + np.arange(done[-1])].tobytes()
+        cut = 4 * np.append(0, done)[np.searchsorted(at, off)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _odd_space(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where white space stands that is not one space or line end between two words: next to
+    another, at the end of a text, or a character other than these two."""
+    space = (data == 32) | (data == 10)
+    last = np.zeros(len(data), bool)
+    last[off[1:][off[1:] > 0] - 1] = True
+    odd = space & (last | np.append(space[1:], True))
+    odd |= (data < 32) & (data != 10) | (data == 127)
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    a, b, c = (np.append(data, np.zeros(2, np.uint8))[lead + i] for i in range(3))
+    wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    wide |= (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+    wide |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8F) | (c >= 0xA8) & (c <= 0xAF)) | (b == 0x81) & (c == 0x9F))
+    wide |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    odd[lead[wide]] = True
+    return np.flatnonzero(odd)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -184,8 +209,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             step = max(1, min(batch.num_rows, 1 + batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [x + end for x in encoder.encode(texts)]
+                ids = [x + end for x in encoder.encode(part.column(1))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 first = done + np.concatenate([[0], np.cumsum(n)[:-1]])
                 done += int(n.sum())
