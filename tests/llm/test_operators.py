@@ -146,6 +146,28 @@ def test_leaks_with_edits_are_found(spark):
     assert decontaminate.decontaminate(d, b).count() == len(rows) - len({i for i, _ in hits})
 
 
+def test_a_later_partial_copy_hides_no_passage(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items = [text(30) for _ in range(60)]
+    rows = []
+    for j, item in enumerate(items):
+        k = decontaminate.budget(len(item))
+        leak, decoy = list(item), list(item)
+        for at in rng.sample(range(len(item)), k):
+            leak[at] = "zz"
+        for at in rng.sample(range(len(item)), k + 2):
+            decoy[at] = "yy"
+        left, gap = text(20) + leak, text(150)
+        rows += [(2 * j, " ".join(left + gap + text(30))), (2 * j + 1, " ".join(left + gap + decoy))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.benchmark_hits(d, b).collect()}
+    alone = {j for j in range(len(items)) if (2 * j, j) in got}
+    assert len(alone) >= 0.95 * len(items)
+    assert {j for j in alone if got.get((2 * j + 1, j)) == got[2 * j, j]} == alone
+
+
 def test_segments():
     rng = random.Random(2)
     for _ in range(200):

@@ -185,7 +185,7 @@ class Items:
             n, k = self.n[item], self.k[item]
             best = (k + 1, 0)
             reach = None
-            for s in at:  # stretches that overlap are aligned once
+            for s in np.unique(at):  # left to right; stretches that overlap are aligned once
                 a, b = max(lo, s - k), min(hi, s + n + k)
                 if reach is not None and b <= reach:
                     continue
