@@ -255,6 +255,37 @@ def test_language_model(docs, corpus):
         assert r["score"] <= 0
 
 
+def test_rare_words_have_classes_of_their_own(spark):
+    rng = random.Random(8)
+    word = lambda kind: f"{kind}{rng.randrange(4000)}end"
+    texts = [" ".join(word("ab"[j % 2]) for j in range(100)) for _ in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = brown_lm.score(d).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (r[0] - r[1]) / r[2] > 0.25  # two kinds in turn: log10(2) = 0.30 at best
+
+
+def test_best_class_is_that_of_brute_force():
+    rng = np.random.default_rng(9)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+    for _ in range(30):
+        pairs = rng.integers(0, 9, (12, 12)) * (rng.random((12, 12)) < 0.6)
+        np.fill_diagonal(pairs, 0)
+        cls = rng.integers(0, 4, 12)
+        one = np.eye(4)[cls]
+        near = np.concatenate([pairs.T @ one, pairs @ one], axis=1)
+        word, cell = np.nonzero(near)
+        if len(np.unique(word)) < 12:
+            continue
+        got = brown_lm.best_classes(one.T @ pairs @ one, cls, word, cell, near[word, cell])
+        for u in range(12):
+            each = []
+            for d in range(4):
+                o = np.eye(4)[np.where(np.arange(12) == u, d, cls)]
+                a = o.T @ pairs @ o
+                each.append(f(a) - f(a.sum(0)) - f(a.sum(1)))
+            assert each[got[u]] == pytest.approx(max(each))
+
+
 def test_languages_and_classes_beat_chance(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
