@@ -168,6 +168,15 @@ def test_a_later_partial_copy_hides_no_passage(spark):
     assert {j for j in alone if got.get((2 * j + 1, j)) == got[2 * j, j]} == alone
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    rows = [(1, "x y Alpha, beta z"), (2, "alpha z beta"), (3, "昨日は猫が魚を食べたので困りました。"), (4, "犬が骨"), (5, "an Apple pie"), (6, "昨日は猫が肉を食べたので"), (7, None), (8, "")]
+    items = [(10, "alpha BETA"), (11, "猫が魚を食べた"), (12, "apple"), (13, ""), (14, "..."), (15, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["n_words"], r["end_word"]) for r in decontaminate.benchmark_hits(d, b).collect()}
+    assert got == {(1, 10, 0, 2, 4), (3, 11, 0, 7, 10), (5, 12, 0, 1, 2), (6, 11, 1, 7, 10)}
+
+
 def test_segments():
     rng = random.Random(2)
     for _ in range(200):

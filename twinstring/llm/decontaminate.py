@@ -14,6 +14,7 @@ altered copies of the benchmark's own items, how often one repetition finds them
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from twinstring.llm.shared import freed, plain
 from twinstring.llm.words import PUNCTUATION, Block, Lookup, blocks, chain, mix
 
 SIMILARITY = 0.8
-#: Items of fewer words are no evidence of a leak wherever they occur, and are not searched.
-ITEM_WORDS = 5
+#: Letters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 RECALL = 0.99
 #: Positions sampled in a repetition, and repetitions at most.
 BITS = 3
@@ -196,23 +197,41 @@ class Items:
                 yield int(row), int(item), int(best[0]), best[1]
 
 
-def _items(rows: list) -> Items | None:
-    ids, words = [], []
+def by_character(block: Block) -> Block:
+    """The block with every character as a word, but for separators."""
+    lead = (block.bytes & 0xC0) != 0x80
+    lead &= ~PUNCTUATION[block.bytes]
+    stop = np.flatnonzero(np.append((block.bytes & 0xC0) != 0x80, True))
+    block.starts = np.flatnonzero(lead)
+    block.ends = stop[np.searchsorted(stop, block.starts, "right")]
+    block.at = np.searchsorted(block.starts, block.offsets)
+    return block
+
+
+def _items(rows: list) -> list[tuple[Items, bool]]:
+    """The items that are searched by word, and those by character."""
+    found: dict[bool, tuple[list, list]] = {}
     for r in rows:
         batch = pa.RecordBatch.from_arrays([pa.array([r["text"]], pa.string())], ["t"])
-        w = next(blocks(batch, "t", PUNCTUATION)).hashes()
-        if len(w) >= ITEM_WORDS:
-            ids.append(r["item_id"])
-            words.append(w)
-    return Items(ids, words) if ids else None
+        letters = sum(c.isalnum() for c in r["text"])
+        chars = 2 * len(UNSPACED.findall(r["text"])) > letters
+        for b in blocks(batch, "t", PUNCTUATION, max(1, len(r["text"].encode()))):
+            w = (by_character(b) if chars else b).hashes()
+            if len(w):
+                ids, words = found.setdefault(chars, ([], []))
+                ids.append(r["item_id"])
+                words.append(w)
+    return [(Items(*x), chars) for chars, x in found.items()]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, distance, n_words, end_word)``: each benchmark item that a document
     holds within the edit budget, with its best alignment, which ends before ``end_word``.
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. Null, empty
-    and short items (under five words) and empty documents match nothing. Rows that repeat
+    Words are runs of letters, digits and non-ASCII characters, A-Z in lower case; for an item
+    that is mostly in a script without spaces every character is a word, in the document too.
+    Items under five words are found exactly only, as their budget is 0. Null and empty items
+    and empty documents match nothing. Rows that repeat
     give their hits as often. Extra columns are ignored. The benchmark is a query set: it is
     sent to the documents in blocks of ITEM_BLOCK items.
     """
@@ -230,15 +249,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if len(part) == ITEM_BLOCK:
                 break
         done = len(part) < ITEM_BLOCK
-        items = _items(part)
-        if items is not None:
+        for items, chars in _items(part):
             shared = spark.sparkContext.broadcast(items)
 
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, chars=chars) -> Iterator[pa.RecordBatch]:
                 items = shared.value
                 for batch in batches:
                     found = []
                     for block in blocks(batch, "text", PUNCTUATION):
+                        block = by_character(block) if chars else block
                         found.extend((block.first + r, *x) for r, *x in items.search(block))
                     ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
