@@ -177,6 +177,29 @@ def test_short_and_unspaced_items_are_found(spark):
     assert got == {(1, 10, 0, 2, 4), (3, 11, 0, 7, 10), (5, 12, 0, 1, 2), (6, 11, 1, 7, 10)}
 
 
+def test_pipeline_stages_on_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    a, b = text(), text()
+    rows = [(1, a, "s0"), (1, a, "s0"), (1, b, "s0"), (2, a, "s0"), (3, b, "s0"), (4, "", "s1"), (4, "", "s1"), (5, "", "s1"), (None, a, None), (None, a, None)]
+    wide = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.remove_near_copies(spark, wide(rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (4, ""), (5, ""), (0, a), (0, a)])
+    rows = [(j % 7 if j % 3 else None, text(), f"s{j % 4}" if j % 5 else None) for j in range(60)] + [(1, a, "s1")] * 6
+    mixed = wide(rows)
+    want = Counter()
+    for r in mixing.mix_sources(mixed).collect():
+        want[r["doc_id"]] += r["copies"]
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, mixed, "").collect())
+    got = Counter()
+    for (i, _), n in out.items():
+        got[i] += n
+    assert got == +want
+    assert all(n <= (12 if t == a else 2) for (_, t), n in out.items())
+
+
 def test_segments():
     rng = random.Random(2)
     for _ in range(200):

@@ -98,6 +98,17 @@ def mix_sources(
     ignored. A source's taken words differ from its target
     by a fraction of its largest document.
     """
+    return mixed_rows(docs, weights, share, most, seed).drop("source")
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
+    """What ``mix_sources`` returns, with each row's source."""
     d = plain(docs, doc_id="long", text="string", source="string")
     sized = stash(
         d.select("doc_id", word_count(F.col("text")).alias("size"), "source"), "sizes"
@@ -164,6 +175,7 @@ def mix_sources(
     final = final.withColumn("copies", copies(F.col("offset")))
     return final.select(
         "doc_id",
+        "source",
         "size",
         "source_size",
         "target",
