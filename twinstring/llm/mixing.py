@@ -1,33 +1,47 @@
 """Mixing sources to target weights by entropy balancing. DataFrame operations only.
 
-Rates minimise the relative entropy, per token, to taking every document once, under one token
-constraint per source. The convex dual has one multiplier per source, and the optimal rate of a
-document is exp of its source's multiplier. Newton's iterations run as one expression over the
-table of source totals, which is all they need of the corpus: gradient and Hessian of the dual
-are sums of sizes, the Hessian is diagonal, and no row leaves the executors.
-
-Rates become whole copies by systematic rounding along each source's documents in order of
-size: copies of a document are the multiples of one that the running sum of rates crosses. The
-running sum is one of integers over blocks of bounded size, so that the largest source is split
-among tasks and any rerun gives the same copies.
+Document rates minimise the sum of ``r log r - r``, their relative entropy to taking every
+document once, under one constraint per source, that its documents' rates times sizes add up to
+its target, and the bound ``r <= most``. By the convex dual the rate of a document is
+``min(most, exp(x * size))`` with one multiplier x per source: targets above a source tilt it to
+its long documents, targets below to its short ones.
+
+Newton's iterations find the multipliers of all sources at once. Each is one distributed
+aggregate of gradient and Hessian over the table of (source, size) and the number of documents,
+which says all that the dual needs to know of the corpus, joined with the multipliers so far. A
+bracket around each root keeps the steps safe where the bound bends the dual. Sums are of whole
+numbers, so that they don't depend on the order of rows and any rerun finds the same rates.
+
+Rates become whole copies by systematic rounding along each source's documents in order of size:
+copies of a document are the whole numbers that the running sum of rates crosses. Documents of
+one source and size have one rate, so that sum is known per (source, size) and, inside, per
+block of documents; a hot source or a hot size is split among tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinstring.llm.shared import plain, stash
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Rates are multiples of 1 / UNIT, so that their sums are exact.
-UNIT = 1 << 30
-#: Documents of a block of the running sum, on average.
+UNIT_BITS = 24
+UNIT = 1 << UNIT_BITS
+#: Documents of one source and size in a block of the running sum, on average.
 BLOCK_ROWS = 2000
 #: Offsets of the rounding that are tried for each source.
 OFFSETS = 32
-#: Cells (source and size band) whose table may be broadcast; checked by a count.
-CELLS_BROADCAST = 50_000
+#: A multiplier is found when the source's words are off target by such a share; Newton steps at
+#: most (the bracket alone would need 60).
+TOLERANCE = 1e-7
+STEPS = 80
+#: (source, size) cells that may be broadcast, some 100 bytes each; checked by a count.
+CELLS_BROADCAST = 100_000
+#: Equal rows that one task writes out.
+EXPAND_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,19 +80,74 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     s = s.withColumn("open", open_).withColumn("level", F.min("open").over(every)["level"])
     return s.withColumn(
         "target", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap"))
-    ).select("source", "source_size", "target")
+    ).drop("k", "weight", "cap", "capped", "used", "all_size", "all_weight", "open", "level")
+
+
+def tilted(x: Column, size: Column, most: float) -> Column:
+    """Units of the rate ``min(most, exp(x * size))``."""
+    top = F.lit(math.log(most))
+    rate = F.when(x * size >= top, F.lit(float(most))).otherwise(F.exp(F.least(x * size, top)))
+    return F.round(rate * UNIT).cast("long")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
 
 
-def newton_rate(size: Column, target: Column, most: float, iterations: int = 64) -> Column:
-    """Document rate of a source: exp of the dual multiplier, found by Newton steps on
-    ``size * exp(x) - target * x``, each at most one long so that the exponential can't run away."""
-    step = lambda x: (target - size * F.exp(x)) / (size * F.exp(x))
-    x = F.aggregate(
-        F.sequence(F.lit(1), F.lit(iterations)),
-        F.lit(0.0),
-        lambda x, _: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step(x))),
+def multipliers(cells: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """``(source, source_size, target, x)``: the dual's solution for ``cells`` (source, size, n)
+    and ``sources`` (source, source_size, target, least), least being a source's least size
+    above 0. Sources without words have x = 0. Below the lower end of the first bracket a source
+    is under any target, at the upper end every document is at the bound."""
+    live = (F.col("source_size") > 0) & (F.col("target") > 0)
+    full = live & (F.col("target") >= F.col("source_size") * (most * (1 - 1e-12)))
+    share = F.nullif("target", F.lit(0.0)) / F.nullif("source_size", F.lit(0))
+    low = F.least(F.log(share) / F.col("least"), F.lit(0.0))
+    high = F.lit(math.log(most)) / F.col("least")
+    state = sources.select(
+        "source",
+        "source_size",
+        "target",
+        F.when(full, high).otherwise(F.lit(0.0)).alias("x"),
+        F.when(live, low).otherwise(F.lit(0.0)).alias("lo"),
+        F.when(live, high).otherwise(F.lit(0.0)).alias("hi"),
+        (~live | full).alias("done"),
     )
-    return F.when(size > 0, F.least(F.exp(x), F.lit(float(most)))).otherwise(F.lit(0.0))
+    state = stash(state, "multipliers")
+    for step in range(STEPS):
+        if state.where(~F.col("done")).isEmpty():
+            break
+        now = state.where(~F.col("done"))
+        each = cells.join(now.select("source", "x"), _same(cells, now)).select(
+            cells["source"], "size", "n", "x", tilted(F.col("x"), F.col("size"), most).alias("units")
+        )
+        words = (F.col("n") * F.col("size")).cast("decimal(20,0)") * F.col("units")
+        open_ = F.when(F.col("x") * F.col("size") < math.log(most), words * F.col("size")).otherwise(F.lit(0))
+        sums = each.groupBy("source").agg(
+            (F.sum(words).cast("double") / UNIT).alias("got"), (F.sum(open_).cast("double") / UNIT).alias("bend")
+        )
+        gap = F.col("got") - F.col("target")
+        newton = F.col("x") - gap / F.nullif("bend", F.lit(0.0))
+        lo = F.when(gap < 0, F.col("x")).otherwise(F.col("lo"))
+        hi = F.when(gap > 0, F.col("x")).otherwise(F.col("hi"))
+        safe = (F.col("bend") > 0) & (newton > lo) & (newton < hi) & F.lit(step % 4 != 3)
+        found = (F.abs(gap) <= F.col("target") * TOLERANCE) | ((hi - lo) <= F.abs(hi + lo) * 1e-15)
+        after = state.join(sums, _same(state, sums), "left").select(
+            state["source"],
+            "source_size",
+            "target",
+            F.when(F.col("done") | found, F.col("x")).when(safe, newton).otherwise((lo + hi) / 2).alias("x"),
+            F.when(F.col("done"), F.col("lo")).otherwise(lo).alias("lo"),
+            F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"),
+            (F.col("done") | found).alias("done"),
+        )
+        state = stash(after, "multipliers")
+    return state.select("source", "source_size", "target", "x")
+
+
+def _crossed(before: Column, after: Column) -> Column:
+    """Whole numbers that a running sum, in units, crosses."""
+    return F.shiftright(after, UNIT_BITS) - F.shiftright(before, UNIT_BITS)
 
 
 def mix_sources(
@@ -93,10 +162,11 @@ def mix_sources(
 
     size counts words of the whole text (null: 0); a null source is a source and comes last in
     order. taken is copies times size; copies is ``floor(rate)`` or one more, so never above
-    ``most``. A source whose texts are all empty has target 0 and takes nothing. Rows that
-    repeat are rows of their own. An empty table gives an empty result; extra columns are
-    ignored. A source's taken words differ from its target
-    by a fraction of its largest document.
+    ``most``, a whole number. A source whose texts are all empty has target 0, and documents
+    without words are taken once each. Rows that repeat are rows of their own; those of one id,
+    source and size are alike, and which of them gets a decision is open. An empty table gives
+    an empty result; extra columns are ignored. A source's taken words differ from its target by
+    about its largest document at most.
     """
     return mixed_rows(docs, weights, share, most, seed).drop("source")
 
@@ -110,57 +180,25 @@ def mixed_rows(
 ) -> DataFrame:
     """What ``mix_sources`` returns, with each row's source."""
     d = plain(docs, doc_id="long", text="string", source="string")
-    sized = stash(
-        d.select("doc_id", word_count(F.col("text")).alias("size"), "source"), "sizes"
-    )
-    # The order inside a source: by power of two of the size, then by size inside blocks.
-    band = F.floor(F.log2(F.col("size") + 1)).cast("int")
-    sized = sized.withColumn("band", band)
-    cells = sized.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    cells = stash(cells, "cells")
-    totals = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = targets(totals, weights, share, most)
-    rates = rates.withColumn("rate", newton_rate(F.col("source_size"), F.col("target"), most))
-    rates = stash(rates.withColumn("units", F.round(F.col("rate") * UNIT).cast("long")), "rates")
-
-    n_blocks = cells.select("source", "band", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    by_source = n_blocks.join(rates, n_blocks["source"].eqNullSafe(rates["source"])).select(
-        n_blocks["source"].alias("s"), F.col("band").alias("b"), "blocks", *rates.columns[1:]
-    )
-    if cells.count() <= CELLS_BROADCAST:
-        by_source = F.broadcast(by_source)
-    placed = sized.join(
-        by_source, sized["source"].eqNullSafe(F.col("s")) & (sized["band"] == F.col("b"))
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
-    placed = placed.select("doc_id", "size", "source", "band", "block", "source_size", "target", "rate", "units")
-
-    key = ["source", "band", "block"]
-    sums = placed.groupBy(*key).agg(F.sum("units").alias("units"))
-    before = Window.partitionBy("source").orderBy("band", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("units").over(before), F.lit(0)).alias("start"))
-    up_to = (
-        Window.partitionBy(*key).orderBy("size", F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    summed = placed.withColumn("upto", F.sum("units").over(up_to))
-    joined = summed.join(
-        starts,
-        F.col("source").eqNullSafe(F.col("source_"))
-        & (F.col("band") == F.col("band_"))
-        & (F.col("block") == F.col("block_")),
+    sized = stash(d.select("doc_id", word_count(F.col("text")).alias("size"), "source"), "sizes")
+    cells = stash(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
+    totals = cells.groupBy("source").agg(
+        F.sum(F.col("n") * F.col("size")).alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
     )
-    summed = stash(
-        joined.select(*placed.columns, (F.col("start") + F.col("upto")).alias("upto")), "running"
-    )
-
-    def copies(offset: Column) -> Column:
-        end = F.col("upto") + offset
-        return F.shiftright(end, 30) - F.shiftright(end - F.col("units"), 30)
+    solved = multipliers(cells, stash(targets(totals, weights, share, most), "targets"), most)
 
+    placed = cells.join(solved, _same(cells, solved)).select(
+        cells["source"], "size", "n", "source_size", "target", tilted(F.col("x"), F.col("size"), most).alias("units")
+    )
+    before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("units")).over(before), F.lit(0)))
+    placed = stash(placed, "cells")
     # The rounding's offset is free; each source takes the one that brings it nearest its target.
     offsets = [j * (UNIT // OFFSETS) for j in range(OFFSETS)]
-    tried = summed.groupBy("source").agg(
+    end = F.col("start") + F.col("n") * F.col("units")
+    tried = placed.groupBy("source").agg(
         F.first("target").alias("target"),
-        *[F.sum(copies(F.lit(o)) * F.col("size")).alias(f"t{j}") for j, o in enumerate(offsets)],
+        *[F.sum(_crossed(F.col("start") + o, end + o) * F.col("size")).alias(f"t{j}") for j, o in enumerate(offsets)],
     )
     best = F.array_min(
         F.array(
@@ -171,15 +209,48 @@ def mixed_rows(
         )
     )
     chosen = tried.select(F.col("source").alias("source_"), best["offset"].alias("offset"))
-    final = summed.join(chosen, F.col("source").eqNullSafe(F.col("source_")))
-    final = final.withColumn("copies", copies(F.col("offset")))
-    return final.select(
-        "doc_id",
-        "source",
-        "size",
+    placed = placed.join(chosen, F.col("source").eqNullSafe(F.col("source_"))).select(
+        F.col("source").alias("s"),
+        F.col("size").alias("z"),
+        F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"),
         "source_size",
         "target",
-        (F.col("copies") * F.col("size")).alias("taken"),
-        "copies",
-        "rate",
+        "units",
+        (F.col("start") + F.col("offset")).alias("start"),
+    )
+    placed = stash(placed, "cells")
+
+    # Rows of one id, source and size are alike: one row with their number.
+    alike = sized.groupBy("source", "size", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+    side = F.broadcast(placed) if placed.count() <= CELLS_BROADCAST else placed
+    alike = alike.join(side, alike["source"].eqNullSafe(side["s"]) & (alike["size"] == side["z"])).drop("s", "z")
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    alike = stash(alike.withColumn("block", F.pmod(draw, F.col("blocks")).cast("int")), "alike")
+    key = ["source", "size", "block"]
+    split = alike.where("blocks > 1").groupBy(*key).agg(F.sum("m").alias("m"))
+    ahead = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("ahead", F.coalesce(F.sum("m").over(ahead), F.lit(0))).select(
+        *[F.col(c).alias(f"{c}_") for c in key], "ahead"
+    )
+    inside = Window.partitionBy(*key).orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = alike.withColumn("inside", F.coalesce(F.sum("m").over(inside), F.lit(0)))
+    run = run.join(
+        split, F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")) & (F.col("block") == F.col("block_")), "left"
+    )
+    at = F.col("start") + (F.col("inside") + F.coalesce("ahead", F.lit(0))) * F.col("units")
+    run = run.withColumn("total", _crossed(at, at + F.col("m") * F.col("units")))
+
+    rate = (F.col("units") / UNIT).alias("rate")
+    out = run.select("doc_id", "source", "size", "source_size", "target", "m", "total", rate)
+    if not alike.where(F.col("m") > EXPAND_ROWS).isEmpty():
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(EXPAND_ROWS).cast("long")))
+        out = out.withColumn("from", part).repartition("doc_id", "source", "size", "from")
+    else:
+        out = out.withColumn("from", F.lit(0).cast("long"))
+    to = F.least(F.col("m"), F.col("from") + EXPAND_ROWS) - 1
+    nth = F.explode(F.sequence("from", to))
+    copies = F.floor(F.col("total") / F.col("m")) + F.when(F.col("nth") < F.col("total") % F.col("m"), 1).otherwise(0)
+    out = out.withColumn("nth", nth).withColumn("copies", copies.cast("long"))
+    return out.select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
     )
