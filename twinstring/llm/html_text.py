@@ -1,9 +1,14 @@
 """Main text of web pages, with site templates removed.
 
-Every element of a page is hashed with all it holds; hashes are counted per host, and elements
-that recur on many pages of a host are its template. From what remains the article is taken:
-``<article>`` or ``<main>`` elements where a page has them, else the body, without the parts
-that markup itself names as menus, forms, adverts and the like.
+Every element of a page is hashed with all it holds, once with its texts and once as a skeleton:
+tags, classes and ids of the subtree and of its place, runs of alike siblings as one, no text. A
+page's main part is the innermost element with more than half of its text. Spark counts hashes
+per host: a skeleton that recurs beside the main parts of many pages of a host, and is seldom a
+main part itself, is template, and so is a subtree that recurs with its very text on most pages.
+Templates are deleted from all pages of the host, and what remains is the text.
+
+Names that markup gives to menus, adverts and the like (NAMED, MARKED) are used where counts
+can't tell: inside main parts, and on hosts of too few pages.
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ from pyspark.sql import functions as F
 
 from twinstring.llm.shared import freed, plain, stash
 
-#: An element is template if so many pages of its host have it, and such a share of them. Pages
-#: of one article's copies stay below the share.
+#: Pages of a host that "many" means at least, and the share of its pages from where skeletons
+#: count as many: no more than a page's elements over that share can, some ten thousand.
 TEMPLATE_PAGES = 10
-TEMPLATE_SHARE = 0.5
-#: Hosts whose templates may be broadcast (a few dozen hashes each); checked by a count.
-HOSTS_BROADCAST = 20_000
+LEAST_SHARE = 0.001
+#: A template's pages are so many times those where it is on the way to the main part.
+BESIDE = 3
+#: Share of a host's pages from where a subtree of equal text is template inside main parts too.
+EQUAL_SHARE = 0.5
+#: Template hashes that may be broadcast, 8 bytes each; checked by a sum.
+HASHES_BROADCAST = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -33,10 +42,16 @@ BLOCKS = frozenset(
     " figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu"
     " nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset(
-    "head script style noscript template nav footer aside form button select option input textarea"
-    " iframe object embed svg canvas audio video map dialog menu datalist noframes title".split()
+#: Elements whose content is no text of the page.
+SILENT = frozenset(
+    "head script style noscript template button select option input textarea iframe object embed"
+    " svg canvas audio video map datalist noframes title".split()
 )
+#: Elements that by their tag are not the article.
+MARKED = frozenset("nav footer aside form dialog menu".split())
+#: Elements that hold text rather than parts of a page.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre dt dd li ul ol dl figcaption legend summary tr".split())
+
 #: Elements that a start tag of the key's kind ends, inside the given containers.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -59,43 +74,54 @@ NAMED = frozenset(
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 class Element:
-    __slots__ = ("drop", "hash", "items", "parts", "tag")
+    __slots__ = ("hash", "items", "kids", "n", "named", "parts", "shape", "sign", "tag")
 
-    def __init__(self, tag: str, drop: bool):
-        self.tag, self.drop = tag, drop
+    def __init__(self, tag: str, sign: str, named: bool):
+        self.tag, self.sign, self.named = tag, sign, named
         self.items: list[Element | str] = []
         self.parts = xxhash.xxh64(tag)
-        self.hash = 0
+        self.kids: list[int] = []
+        self.hash = self.shape = self.n = 0
 
-    def close(self) -> int:
+    def close(self) -> None:
         self.hash = self.parts.intdigest() - (1 << 63)
-        return self.hash
-
-
-def _marked(tag: str, attributes: str) -> bool:
-    """The markup itself says that this is not the article."""
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        words = re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
-        if not NAMED.isdisjoint(words):
-            return True
-    return False
+        self.shape = xxhash.xxh64_intdigest(f"{self.sign}{self.kids}")
+
+    def add(self, done: Element) -> None:
+        """A closed child's hashes and characters. Inline elements have no part in a skeleton."""
+        self.parts.update(f"\x01{done.hash}")
+        if done.tag not in SILENT:
+            self.n += done.n
+        if done.tag in BLOCKS:
+            if not self.kids or self.kids[-1] != done.shape:
+                self.kids.append(done.shape)
+        else:
+            self.kids.extend(k for k in done.kids if not self.kids or self.kids[-1] != k)
+
+
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
+    """Tag, classes and id of an element, numbers aside, and whether its names say that it is
+    not the article."""
+    named = tag in MARKED or bool(attributes and _HIDDEN.search(attributes))
+    sign = [tag]
+    for m in _NAMES.finditer(attributes or ""):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() != "role":
+            sign.append(m[1].lower() + re.sub(r"\d+", "0", " ".join(sorted(value.split()))))
+        if tag not in ("html", "body", "main", "article") and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            named = True
+    return "|".join(sign), named
 
 
 def parse(page: str) -> Element:
     """A tree of any markup, in one pass: unclosed and stray tags, comments and raw text as
     browsers take them, or nearly so."""
-    root = Element("", False)
+    root = Element("", "", False)
     stack = [root]
 
     def text(s: str) -> None:
@@ -103,10 +129,12 @@ def parse(page: str) -> Element:
             stack[-1].items.append(s)
             if words := " ".join(s.split()):
                 stack[-1].parts.update("\x00" + words)
+                stack[-1].n += len(words)
 
     def pop() -> None:
         done = stack.pop()
-        stack[-1].parts.update(f"\x01{done.close()}")
+        done.close()
+        stack[-1].add(done)
 
     at, n = 0, len(page)
     while at < n:
@@ -158,13 +186,15 @@ def parse(page: str) -> Element:
                     last = k
             while last and len(stack) > last:
                 pop()
-        e = Element(tag, _marked(tag, m[3]) or (tag == "header" and not any(x.tag in ("article", "main") for x in stack)))
+        sign, named = _named(tag, m[3])
+        named |= tag == "header" and not any(x.tag in ("article", "main") for x in stack)
+        e = Element(tag, sign, named)
         stack[-1].items.append(e)
         stack.append(e)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             stop = end.start() if end else n
-            if tag not in DROPPED:
+            if tag not in SILENT:
                 text(page[at:stop])
             else:
                 e.parts.update(page[at:stop])
@@ -179,36 +209,70 @@ def parse(page: str) -> Element:
     return root
 
 
-def _walk(root: Element) -> Iterator[Element]:
-    todo = [root]
-    while todo:
-        e = todo.pop()
-        yield e
-        todo.extend(x for x in reversed(e.items) if isinstance(x, Element))
+def _placed(path: int, e: Element) -> int:
+    """Path of an element's children."""
+    return xxhash.xxh64_intdigest(f"{path}/{e.sign}")
+
+
+def _key(path: int, e: Element) -> int:
+    """Skeleton of an element at its place."""
+    return xxhash.xxh64_intdigest(f"{path}:{e.shape}") - (1 << 63)
 
 
-def subtree_hashes(page: str) -> list[int]:
-    """Distinct hashes of the elements of a page that hold text or elements."""
-    found = {e.hash for e in _walk(parse(page)) if e.items and e.tag not in ("", "html", "body", "head")}
-    return sorted(found)
+def _inner(e: Element) -> Iterator[Element]:
+    return (x for x in e.items if isinstance(x, Element) and x.tag not in SILENT)
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, one a line."""
+def main_part(root: Element) -> list[Element]:
+    """The elements that hold more than half of the text, outermost first."""
+    chain = [root]
+    while True:
+        for x in _inner(chain[-1]):
+            if 2 * x.n > root.n and x.tag in BLOCKS and x.tag not in LEAVES:
+                chain.append(x)
+                break
+        else:
+            return chain
+
+
+#: What a hash was seen as: beside the main part, on the way to it, and inside it with its text.
+ASIDE, ON_WAY, INSIDE = 0, 1, 2
+
+
+def subtree_hashes(page: str) -> set[tuple[int, int]]:
+    """Distinct hashes of a page's elements, and what each was seen as."""
     root = parse(page)
-    chosen: list[Element] = []
-    for wanted in ("article", "main"):
-        todo = [root]
-        while todo:
-            e = todo.pop()
-            if e.drop:
-                continue
-            if e.tag == wanted:
-                chosen.append(e)
-                continue
-            todo.extend(x for x in reversed(e.items) if isinstance(x, Element))
-        if chosen:
-            break
+    chain = main_part(root)
+    found: set[tuple[int, int]] = set()
+    todo: list[tuple[Element, int, int]] = [(root, 0, ON_WAY)]
+    way = set(map(id, chain))
+    while todo:
+        e, path, seen = todo.pop()
+        if seen == INSIDE:
+            if e.n and e.tag in BLOCKS:
+                found.add((e.hash, INSIDE))
+        elif e.n and e.tag in BLOCKS and e.tag not in ("html", "body"):
+            found.add((_key(path, e), seen))
+        below = INSIDE if e is chain[-1] else seen
+        inner = _placed(path, e)
+        for x in _inner(e):
+            if below == ON_WAY:
+                todo.append((x, inner, ON_WAY if id(x) in way else ASIDE))
+            else:
+                todo.append((x, inner, below))
+    return found
+
+
+def main_text(page: str, template: frozenset[int] = frozenset(), counted: bool = False) -> str:
+    """The blocks that remain, one a line. ``counted``: the host has pages enough for counts to
+    tell templates beside main parts."""
+    root = parse(page)
+    text = _remains(root, template, counted)
+    return text or (_remains(root, frozenset(), False) if template else text)
+
+
+def _remains(root: Element, template: frozenset[int], counted: bool) -> str:
+    part = main_part(root)[-1]
     lines: list[str] = []
     words: list[str] = []
 
@@ -217,26 +281,30 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
             lines.append(line)
         words.clear()
 
-    for top in chosen or [root]:
-        todo: list = [(top, False)]
-        while todo:
-            x, after = todo.pop()
-            if isinstance(x, str):
-                words.append(x)
-                continue
-            if after:
-                flush()
-                continue
-            if x is not top and (x.drop or x.hash in template):
-                words.append(" ") if x.tag not in BLOCKS else flush()
-                continue
-            if x.tag == "br":
-                words.append(" ")
-            if x.tag in BLOCKS:
-                flush()
-                todo.append((x, True))
-            todo.extend((y, False) for y in reversed(x.items))
-        flush()
+    todo: list = [(root, 0, part is root or not counted, False)]
+    while todo:
+        x, path, by_name, after = todo.pop()
+        if isinstance(x, str):
+            words.append(x)
+            continue
+        if after:
+            flush()
+            continue
+        gone = x.tag in SILENT or (by_name and x.named and 2 * x.n <= root.n)
+        if template and not gone and x is not root:
+            gone = x.hash in template or _key(path, x) in template
+        if gone:
+            words.append(" ") if x.tag not in BLOCKS else flush()
+            continue
+        if x.tag == "br":
+            words.append(" ")
+        if x.tag in BLOCKS:
+            flush()
+            todo.append((x, 0, False, True))
+        inner = _placed(path, x)
+        by_name = by_name or x is part
+        todo.extend((y, inner, by_name, False) for y in reversed(x.items))
+    flush()
     return "\n".join(lines)
 
 
@@ -245,50 +313,55 @@ def host_of(url) -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, hashes)``: the elements that recur on many pages of a host. The share makes
-    their number a small multiple of the elements of a page. Pages without a host have none."""
+    """``(host, hashes)`` of hosts of many pages: the template subtrees of each. Pages
+    without a host have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                each = subtree_hashes(page or "")
-                hosts.extend([host] * len(each))
-                hashes.extend(each)
+            hosts, hashes, seen = [], [], []
+            for host, page in zip(batch.column(0), batch.column(1), strict=True):
+                each = subtree_hashes(page.as_py() or "")
+                hosts.extend([host.as_py()] * len(each))
+                hashes.extend(x[0] for x in each)
+                seen.extend(x[1] for x in each)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"]
+                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(seen, pa.int32())], ["host", "hash", "seen"]
             )
 
     some = pages.where("host <> ''")
-    seen = some.select("host", "html").mapInArrow(freed(run), "host string, hash long")
-    common = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    total = some.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    return (
-        common.join(total, "host")
-        .where(F.col("n") >= F.col("total") * TEMPLATE_SHARE)
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
-    )
+    seen = some.select("host", "html").mapInArrow(freed(run), "host string, hash long, seen int")
+    each = seen.groupBy("host", "hash").agg(*[F.count_if(F.col("seen") == i).alias(f"n{i}") for i in (ASIDE, ON_WAY, INSIDE)])
+    many = each.where((F.col("n0") >= TEMPLATE_PAGES) | (F.col("n2") >= TEMPLATE_PAGES))
+    total = some.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= TEMPLATE_PAGES)
+    beside = (F.col("n0") >= F.greatest(F.lit(TEMPLATE_PAGES), F.col("total") * LEAST_SHARE)) & (F.col("n0") >= BESIDE * F.col("n1"))
+    equal = F.col("n2") >= F.greatest(F.lit(TEMPLATE_PAGES), F.col("total") * EQUAL_SHARE)
+    return total.join(many, "host", "left").groupBy("host").agg(F.sort_array(F.collect_set(F.when(beside | equal, F.col("hash")))).alias("hashes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages`` (page_id, url, html).
 
-    Null and empty pages give an empty text. Null urls have no host and so no site template.
-    Rows that repeat are extracted each. Extra columns are ignored; an empty table gives an
-    empty result.
+    Null and empty pages give an empty text. Null urls have no host and so no site template. A
+    page that is template throughout keeps its text. Rows that repeat are extracted each. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     p = plain(pages, page_id="long", url="string", html="string")
     p = p.withColumn("host", host_of(F.col("url")))
     known = stash(templates(p), "templates").select(F.col("host").alias("site"), "hashes")
-    side = F.broadcast(known) if known.count() <= HOSTS_BROADCAST else known
-    both = p.join(side, p["host"] == F.col("site"), "left").select("page_id", "url", "html", "hashes")
+    size = known.agg(F.sum(F.size("hashes") + 4)).first()[0] or 0
+    side = F.broadcast(known) if size <= HASHES_BROADCAST else known
+    both = p.join(side, p["host"] == F.col("site"), "left").select("page_id", "url", "html", "site", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sites: dict[str, frozenset[int]] = {}  # of the hosts of a task's last pages
         for batch in batches:
             texts = []
-            for page, hashes in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append(main_text(page.as_py() or "", frozenset(hashes.as_py() or ())))
+            for i, (page, site) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                if site is not None and site not in sites:
+                    if len(sites) >= 256:
+                        sites.clear()
+                    sites[site] = frozenset(batch.column(4)[i].as_py())
+                texts.append(main_text(page.as_py() or "", sites.get(site, frozenset()), site is not None))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
