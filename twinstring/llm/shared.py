@@ -21,10 +21,13 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is configured, as in tests,
-    a local one is made."""
+    """The folder that driver and executors share. Only where none is configured and Spark runs
+    in one process, as in tests, a local one is made."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='twinstring-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,15 +38,29 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     a cache, outlives every executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    """Deletes what ``stash`` wrote. Nothing that is still to be computed may read it."""
+    spark = stashed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stashed.stash_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: ``plain(docs, doc_id="long", text="string")``. Other
     columns, whatever they are called, can clash with nothing afterwards. Every operator
-    starts here, so this also keeps the session's Arrow batches of documents small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    starts here, so this also keeps the session's Arrow batches of documents small: Spark reads
+    both limits from the session when a plan runs, so they can't be set for a plan alone. Smaller
+    limits of the session stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.select(*[df[c].cast(t).alias(c) for c, t in columns.items()])
 
 
@@ -128,7 +145,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(least, "u")
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         own = least.select("u", F.col("m").alias("v"))
-        e = stash(linked.unionByName(own).distinct(), "edges")
+        last, e = e, stash(linked.unionByName(own).distinct(), "edges")
+        discard(last)
         after = _state(e)
         if after == before:
             break
