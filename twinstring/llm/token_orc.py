@@ -17,6 +17,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ ORC_OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
 }
-#: Files whose offsets may be broadcast when reading; checked by a count.
-FILES_BROADCAST = 200_000
+_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
+#: Parts whose offsets may be broadcast when reading; checked by a count.
+PARTS_BROADCAST = 200_000
 
 
 def _symbols() -> dict[int, str]:
@@ -71,7 +74,8 @@ class Encoder:
 
     The split into pre-tokens never joins a word to what precedes it but for one space, so
     the ids of a text whose only white space is single spaces and line ends are those of its
-    words, with the space before them, one after the other. Any other text is encoded whole.
+    words, with the space before them, one after the other. Any other text, and one that holds
+    a string of the tokenizer's added tokens, is encoded whole.
     """
 
     def __init__(self, json: str):
@@ -81,10 +85,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.known = _Memory(self._learn)
         self.before: dict[str, bytes] = {}
+        #: Strings that the tokenizer takes out of a text before it splits the rest.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -130,6 +135,8 @@ class Encoder:
         data, off = data[off[0] : off[-1]], off - off[0]
         odd = np.zeros(len(off) - 1, bool)
         odd[np.searchsorted(off, _odd_space(data, off), "right") - 1] = True
+        for token in self.added:
+            odd |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
         out = self._by_words(data, off)
         at = np.flatnonzero(odd)
         for i, ids in zip(at, self._ids([column[int(i)].as_py() for i in at]) if len(at) else (), strict=True):
@@ -195,14 +202,16 @@ def _encoder(json: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Writes ``(doc_id, first, n_tokens, ids)`` of every row of ``docs`` (doc_id, text) as ORC
-    below ``path``, in ascending order of doc_id over files and rows (null first, rows of one
+    """Writes ``(doc_id, part, first, n_tokens, ids)`` of every row of ``docs`` (doc_id, text) as
+    ORC below ``path``, in ascending order of doc_id over parts and rows (null first, rows of one
     id by text). ``tokenizer`` is the tokenizer's JSON; each text, null as an empty one, is
-    encoded whole and ends with ``end_id``. ``first`` counts the ids before it in its file."""
+    encoded whole and ends with ``end_id``. A part is what one task writes, in one file or, under
+    Spark's limit of records a file, several; ``first`` counts the ids before a row in its part."""
     json = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(json.value)
+        number = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         done = 0
         for batch in batches:
@@ -216,20 +225,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(first), pa.array(n), pa.ListArray.from_arrays(pa.array(off), flat)],
-                    ["doc_id", "first", "n_tokens", "ids"],
+                    [
+                        part.column(0),
+                        pa.array(np.full(len(n), number, np.int32)),
+                        pa.array(first),
+                        pa.array(n),
+                        pa.ListArray.from_arrays(pa.array(off), flat),
+                    ],
+                    ["doc_id", "part", "first", "n_tokens", "ids"],
                 )
         encoder.before = {}  # the worker lives on
 
     ordered = plain(docs, doc_id="long", text="string").repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(freed(encode), "doc_id long, first long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(freed(encode), _SCHEMA)
     encoded.write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, first, n_tokens, ids)``; filters on doc_id skip stripes and row groups."""
-    return spark.read.schema("doc_id long, first long, n_tokens long, ids array<int>").orc(path)
+    """``(doc_id, part, first, n_tokens, ids)``; filters on doc_id skip stripes and row groups."""
+    return spark.read.schema(_SCHEMA).orc(path)
 
 
 def describe_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -246,22 +261,18 @@ def describe_tokens(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(n), pa.array(crc, pa.int64())],
-                ["file", "doc_id", "first", "n_tokens", "ids_crc32"],
+                ["part", "doc_id", "first", "n_tokens", "ids_crc32"],
             )
 
     tokens = read_tokens(spark, path)
-    rows = tokens.select(F.col("_metadata.file_name").alias("file"), "doc_id", "first", "ids")
-    rows = rows.mapInArrow(freed(check), "file string, doc_id long, first long, n_tokens long, ids_crc32 long")
-    files = (
-        tokens.select(F.col("_metadata.file_name").alias("file"), "first", "n_tokens")
-        .groupBy("file")
-        .agg(F.max(F.col("first") + F.col("n_tokens")).alias("n"))
-    )
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if files.count() <= FILES_BROADCAST:
-        files = F.broadcast(files)
-    return rows.join(files, "file").select(
+    rows = tokens.select("part", "doc_id", "first", "ids")
+    rows = rows.mapInArrow(freed(check), "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    parts = tokens.groupBy("part").agg(F.max(F.col("first") + F.col("n_tokens")).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if parts.count() <= PARTS_BROADCAST:
+        parts = F.broadcast(parts)
+    return rows.join(parts, "part").select(
         "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
 
