@@ -29,8 +29,6 @@ PREFIXES = (4, 5, 6, 7, 8)
 PRIOR = 0.05
 SURE = 2.3
 DRIFT = -0.05
-#: Units of a model at most, those of highest score: 16 bytes each.
-UNITS_MOST = 100_000
 THRESHOLD = 0.3
 
 
@@ -40,26 +38,28 @@ def units(block: Block) -> np.ndarray:
 
 
 def segments(scores: np.ndarray) -> list[float]:
-    """Scores of all maximal-scoring segments (Ruzzo and Tompa 1999). Each stretch of equal
-    sign acts as one item, so the scan is linear in the number of positive tokens."""
+    """Scores of all maximal-scoring segments (Ruzzo and Tompa 1999). A candidate remembers the
+    last one before it whose left sum is smaller; the search steps along these, over candidates
+    that no later one can join, so the scan is linear."""
     left: list[float] = []
     right: list[float] = []
+    smaller: list[int] = []
     total = 0.0
     for x in scores:
         before, total = total, total + x
         if x <= 0:
             continue
         lo, hi = before, total
-        while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= lo:
-                j -= 1
-            if j < 0 or right[j] >= hi:
-                left.append(lo)
-                right.append(hi)
-                break
+        j = len(left) - 1
+        while j >= 0 and left[j] >= lo:
+            j = smaller[j]
+        while j >= 0 and right[j] < hi:
             lo = left[j]
-            del left[j:], right[j:]
+            at, j = j, smaller[j]
+            del left[at:], right[at:], smaller[at:]
+        left.append(lo)
+        right.append(hi)
+        smaller.append(j)
     return [b - a for a, b in zip(left, right, strict=True)]
 
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         )
         sd = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
         scored = counts.where("t > 1").select("u", (odds - SURE * sd).alias("s")).where("s > 0")
-        top = scored.orderBy(F.desc("s"), "u").limit(UNITS_MOST).toArrow()
+        top = scored.orderBy("u").toArrow()  # units of FIT_ROWS documents, 12 bytes each
         model = Model(top["u"].to_numpy().view(np.uint64), top["s"].to_numpy())
     _calibrate(model, sample)
     return model
