@@ -36,14 +36,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 class Node:
     """``next``: by host label. ``paths``: by whole path segment. ``ends``: last, unfinished
-    segments with their rule and verdict."""
+    segments with their rule and verdict; ``sizes``: their lengths, longest first."""
 
-    __slots__ = ("ends", "next", "paths")
+    __slots__ = ("ends", "next", "paths", "sizes")
 
     def __init__(self):
         self.next: dict[str, Node] = {}
         self.paths: Node | None = None
         self.ends: dict[str, tuple[str, str]] = {}
+        self.sizes: list[int] = []
 
 
 class Trie:
@@ -63,6 +64,8 @@ class Trie:
                 node = node.next.setdefault(segment, Node())
             if node.ends.get(last, ("", ""))[1] != "block":
                 node.ends[last] = (host + path, verdict)
+                if len(last) not in node.sizes:
+                    node.sizes = sorted([*node.sizes, len(last)], reverse=True)
 
     def match(self, host: str, path: str) -> tuple[int, int, str, str] | None:
         """Labels, path length, rule and verdict of the rule that wins."""
@@ -82,10 +85,10 @@ class Trie:
         best = None
         taken = 0
         for segment in segments:
-            fits = [e for e in node.ends if segment.startswith(e)]
-            if fits:
-                end = max(fits, key=len)
-                best = (taken + len(end), *node.ends[end])
+            for size in node.sizes:
+                if size <= len(segment) and (end := segment[:size]) in node.ends:
+                    best = (taken + size, *node.ends[end])
+                    break
             if (node := node.next.get(segment)) is None:
                 break
             taken += len(segment) + 1
