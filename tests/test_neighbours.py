@@ -123,6 +123,51 @@ def test_lines(spark, tmp_path):
     f.write_bytes(b"a\r\nb\rc\n\nlast")
     got = read_lines(spark, str(f)).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(0, "a"), (1, "b\rc"), (2, ""), (3, "last")]
+    f.write_bytes(b"a\r\r\n\r\n\rb")
+    got = read_lines(spark, str(f)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(0, "a\r"), (1, ""), (2, "\rb")]
+    f.write_bytes(b"")
+    assert read_lines(spark, str(f)).count() == 0
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    lines = [f"{i} " + "x" * (i % 50) for i in range(4000)]
+    for k in range(3):
+        text = "\n".join(lines[k * 1000 : (k + 1) * 1000 if k < 2 else 4000])
+        (tmp_path / f"part-{k}.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = {r["id"]: r["str"] for r in read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(lines))
+
+
+def test_repeats_are_joined_once(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=16))
+    strings = [word()] * 300 + [word() for _ in range(600)]
+    df = from_iterable(spark, strings)
+    index = ts.NeighborIndex(df, max_distance=2)
+    assert index.variants.count() <= 601 * (1 + 16 + 120)
+    assert index.strings().count() == 900
+    for pairs in (index.within(2), ts.neighbors_within(df, max_distance=2)):
+        assert pairs.count() == 300 * 299 // 2
+    own = index.across(index, max_distance=2).where("dist = 0")
+    assert own.count() == 300 * 300 + 600
+    index.unpersist()
+
+
+def test_more_strings_than_positions(spark, monkeypatch):
+    from twinstring.plans import checks
+
+    monkeypatch.setattr(checks, "POSITIONS_WITHIN", 2)
+    monkeypatch.setattr(checks, "POSITIONS_ACROSS", 1)
+    with pytest.raises(ts.TooManyStringsError, match="query must not hold more than 2 elements, got 3"):
+        ts.get_neighbors_within(["a", "b", "c"])
+    with pytest.raises(ts.TooManyStringsError, match="reference must not hold more than 1 elements, got 2"):
+        ts.get_neighbors_across(["a"], ["b", "c"])
+    assert len(ts.get_neighbors_within(["a", "b"])[0]) == 1
 
 
 def test_cli(spark, tmp_path, capsys):

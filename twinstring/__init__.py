@@ -6,6 +6,7 @@ from twinstring.errors import (
     NeighborError,
     NonAsciiError,
     NullStringError,
+    TooManyStringsError,
     VariantBudgetError,
 )
 from twinstring.local import CachedRef, get_neighbors_across, get_neighbors_within
@@ -21,6 +22,7 @@ __all__ = [
     "NeighborIndex",
     "NonAsciiError",
     "NullStringError",
+    "TooManyStringsError",
     "VariantBudgetError",
     "get_neighbors_across",
     "get_neighbors_within",

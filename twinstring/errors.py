@@ -5,6 +5,9 @@ class NeighborError(ValueError):
     """Base of every input error raised here."""
 
 
+# The texts of the messages are part of the interface.
+
+
 class NonAsciiError(NeighborError):
     def __init__(self, position: int, text: str, side: str = "query"):
         super().__init__(f"non-ASCII input currently unsupported ('{text}' at {position})")
@@ -32,6 +35,8 @@ class CacheDistanceError(NeighborError):
 
 
 class TooManyStringsError(NeighborError):
+    """More strings than the 32-bit positions of numpy results can number."""
+
     def __init__(self, side: str, limit: int, got: int):
         super().__init__(f"{side} must not hold more than {limit} elements, got {got}")
 

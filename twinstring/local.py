@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinstring.operators.index import NeighborIndex
 from twinstring.operators.join import neighbors_across, neighbors_within
+from twinstring.plans import checks
 from twinstring.sources.text import from_iterable
 
 Triple = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -18,6 +19,14 @@ def _session(spark: SparkSession | None) -> SparkSession:
     return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+def _numbered(spark: SparkSession, strings: Iterable[str], side: str, limit: int) -> DataFrame:
+    """The strings by position. Iterables are held by the driver anyway, so their size is known."""
+    if not isinstance(strings, str):
+        strings = list(strings)
+        checks.check_size(len(strings), side, limit)
+    return from_iterable(spark, strings)
+
+
 def to_numpy(pairs: DataFrame) -> Triple:
     got = pairs.toPandas()
     return (
@@ -31,7 +40,7 @@ def get_neighbors_within(
     query: Iterable[str], max_distance: int = 1, *, spark: SparkSession | None = None
 ) -> Triple:
     """Rows, columns and distances of all pairs within ``max_distance``, ordered."""
-    df = from_iterable(_session(spark), query)
+    df = _numbered(_session(spark), query, "query", checks.POSITIONS_WITHIN)
     return to_numpy(neighbors_within(df, max_distance=max_distance, sort=True))
 
 
@@ -43,7 +52,8 @@ def get_neighbors_across(
     spark: SparkSession | None = None,
 ) -> Triple:
     spark = _session(spark)
-    q, r = from_iterable(spark, query), from_iterable(spark, reference)
+    q = _numbered(spark, query, "query", checks.POSITIONS_ACROSS)
+    r = _numbered(spark, reference, "reference", checks.POSITIONS_ACROSS)
     return to_numpy(neighbors_across(q, r, max_distance=max_distance, sort=True))
 
 
@@ -55,7 +65,7 @@ class CachedRef:
     ):
         self._spark = _session(spark)
         self._index = NeighborIndex(
-            from_iterable(self._spark, reference), max_distance=max_distance
+            _numbered(self._spark, reference, "reference", checks.POSITIONS_WITHIN), max_distance=max_distance
         )
 
     @property
@@ -71,7 +81,7 @@ class CachedRef:
         if isinstance(query, CachedRef):
             found = self._index.across(query._index, max_distance=max_distance, sort=True)
         elif isinstance(query, Iterable):
-            frame = from_iterable(self._spark, query)
+            frame = _numbered(self._spark, query, "query", checks.POSITIONS_WITHIN)
             found = self._index.across(frame, max_distance=max_distance, sort=True)
         else:
             raise ValueError(

@@ -7,21 +7,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinstring.operators.join import (
+    expand,
     in_order,
+    members,
+    representatives,
     spread,
     variant_frame,
     verified_pairs,
+    within_variants,
 )
-from twinstring.plans.checks import VARIANT_LIMIT, check_distance, normalise, profile
+from twinstring.plans.checks import VARIANT_LIMIT, check_distance, check_strings, normalise
 
 
 class NeighborIndex:
-    """Variant frame of ``df`` for distances up to ``max_distance``, hash-partitioned by the
-    variant so that no query shuffles it again.
+    """Variant frame of the distinct strings of ``df`` for distances up to ``max_distance``,
+    hash-partitioned by the variant so that no query shuffles it again, and the rows of strings
+    that repeat.
 
-    With ``table`` the frame is written as a table bucketed by the variant hash, which other
-    sessions open with :meth:`open` and whose loss of an executor costs nothing; without, it
-    is persisted on memory and disk.
+    With ``table`` the frame is written as a table bucketed by the variant hash, and the rows as
+    ``{table}_members``, which other sessions open with :meth:`open` and whose loss of an
+    executor costs nothing; without, both are persisted on memory and disk.
     """
 
     def __init__(
@@ -39,12 +44,14 @@ class NeighborIndex:
         self.max_distance = check_distance(max_distance)
         frame = normalise(df, id_col, str_col)
         if validate:
-            profile(frame, max_distance, "reference", variant_limit)
+            check_strings(frame, max_distance, "reference", variant_limit)
         else:
             frame = frame.dropna()
         self.spark = df.sparkSession
         parts = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        variants = variant_frame(spread(frame), max_distance)
+        reps = representatives(frame)
+        variants = variant_frame(spread(reps), max_distance)
+        same = members(frame, reps)
         self.table = table
         if table:
             (
@@ -58,14 +65,17 @@ class NeighborIndex:
             self.spark.sql(
                 f"ALTER TABLE {table} SET TBLPROPERTIES ('max_distance' = '{max_distance}')"
             )
-            self.variants = self.spark.table(table)
+            same.write.mode("overwrite").saveAsTable(f"{table}_members")
+            self.variants, self.members = self.spark.table(table), self.spark.table(f"{table}_members")
         else:
             self.variants = variants.repartition(parts, "h").persist(StorageLevel.MEMORY_AND_DISK)
+            self.members = same.persist(StorageLevel.MEMORY_AND_DISK)
 
     @classmethod
     def open(cls, spark, table: str) -> NeighborIndex:
         self = cls.__new__(cls)
-        self.spark, self.table, self.variants = spark, table, spark.table(table)
+        self.spark, self.table = spark, table
+        self.variants, self.members = spark.table(table), spark.table(f"{table}_members")
         props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
         self.max_distance = int(props["max_distance"])
         return self
@@ -73,9 +83,7 @@ class NeighborIndex:
     def within(self, max_distance: int = 1, *, sort: bool = False) -> DataFrame:
         """As ``neighbors_within`` on the indexed strings."""
         check_distance(max_distance, self.max_distance)
-        return in_order(
-            verified_pairs(self.variants, self.variants, max_distance, ordered=True), sort
-        )
+        return in_order(within_variants(self.variants, self.members, max_distance), sort)
 
     def across(
         self,
@@ -91,19 +99,24 @@ class NeighborIndex:
         check_distance(max_distance, self.max_distance)
         if isinstance(query, NeighborIndex):
             check_distance(max_distance, query.max_distance)
-            left = query.variants
+            left, same = query.variants, query.members
         else:
             frame = normalise(query, id_col, str_col)
             if validate:
-                profile(frame, max_distance, "query")
+                check_strings(frame, max_distance, "query")
             else:
                 frame = frame.dropna()
-            left = variant_frame(spread(frame), max_distance)
-        return in_order(verified_pairs(left, self.variants, max_distance, ordered=False), sort)
+            reps = representatives(frame)
+            left, same = variant_frame(spread(reps), max_distance), members(frame, reps)
+        pairs = verified_pairs(left, self.variants, max_distance, ordered=False)
+        return in_order(expand(pairs, same, self.members), sort)
 
     def strings(self) -> DataFrame:
-        return self.variants.where(F.col("h") == F.xxhash64("str")).select("id", "str").distinct()
+        """``(id, str)`` of all indexed rows."""
+        reps = self.variants.where(F.col("h") == F.xxhash64("str")).select(F.col("id").alias("rep"), "str").distinct()
+        return reps.join(self.members, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "str")
 
     def unpersist(self) -> None:
         if not self.table:
             self.variants.unpersist()
+            self.members.unpersist()

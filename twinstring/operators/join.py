@@ -4,6 +4,9 @@ Both inputs are expanded into hashed deletion variants; two strings within dista
 one of them, so an equi-join on the hash finds every pair, and Spark's cutoff ``levenshtein``
 removes the others inside the join condition. The merge hint matters: size estimates ignore
 the expansion, so without it a frame of millions of variants is taken for a broadcast.
+
+Equal strings share every variant, so each distinct string is expanded and joined once, and its
+rows join the pairs afterwards.
 """
 
 from __future__ import annotations
@@ -12,13 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinstring.functions import variant_hashes
-from twinstring.plans.checks import (
-    VARIANT_LIMIT,
-    InputProfile,
-    check_distance,
-    normalise,
-    profile,
-)
+from twinstring.plans.checks import VARIANT_LIMIT, check_distance, check_strings, normalise
 
 
 def spread(frame: DataFrame) -> DataFrame:
@@ -51,74 +48,53 @@ def verified_pairs(
     return a.join(b, on).select("row", "col", dist).distinct()
 
 
-def _equal_strings(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    a = left.select(F.col("id").alias("row"), F.col("str").alias("a"))
-    b = right.select(F.col("id").alias("col"), F.col("str").alias("b")).hint("merge")
-    on = a["a"] == b["b"]
-    if ordered:
-        on = on & (F.col("row") < F.col("col"))
-    return a.join(b, on).select("row", "col", F.lit(0).alias("dist"))
+def representatives(frame: DataFrame) -> DataFrame:
+    """``(id, str, n)``: each distinct string once, with its least id and its number of rows."""
+    return frame.groupBy("str").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "str", "n")
 
 
-def _distinct_strings(frame: DataFrame) -> DataFrame:
-    return frame.groupBy("str").agg(F.min("id").alias("id")).select("id", "str")
+def members(frame: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(rep, id)`` of all rows whose string occurs more than once: nothing where all differ, so
+    that what is joined with it afterwards need not be shuffled."""
+    many = reps.where("n > 1").select(F.col("id").alias("rep"), "str")
+    return frame.join(many, "str").select("rep", "id")
 
 
-def _expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of representatives become pairs of all rows that hold the same strings."""
-    m = left.select(
-        F.min("id").over(_same_string()).alias("row_rep"), F.col("id").alias("row_id")
-    )
-    n = right.select(
-        F.min("id").over(_same_string()).alias("col_rep"), F.col("id").alias("col_id")
-    )
-    return (
-        pairs.join(m, pairs["row"] == m["row_rep"])
-        .join(n, F.col("col") == n["col_rep"])
-        .select("row_id", "col_id", "dist")
-    )
+    x = left.select(F.col("rep").alias("row"), F.col("id").alias("row_id"))
+    y = right.select(F.col("rep").alias("col"), F.col("id").alias("col_id"))
+    both = pairs.join(x, "row", "left").join(y, "col", "left")
+    return both.select(F.coalesce("row_id", "row").alias("row"), F.coalesce("col_id", "col").alias("col"), "dist")
 
 
-def _same_string():
-    from pyspark.sql import Window
+def equal_pairs(same: DataFrame) -> DataFrame:
+    """Pairs of rows with one string, from ``members``."""
+    a = same.select("rep", F.col("id").alias("row"))
+    b = same.select("rep", F.col("id").alias("col")).hint("merge")
+    return a.join(b, "rep").where("row < col").select("row", "col", F.lit(0).alias("dist"))
 
-    return Window.partitionBy("str")
 
-
-def within_frames(frame: DataFrame, max_distance: int, repetitive: bool) -> DataFrame:
+def within_variants(variants: DataFrame, same: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs of the rows behind a variant frame of distinct strings and their ``members``."""
     if max_distance == 0:
-        return _equal_strings(frame, frame, ordered=True)
-    if not repetitive:
-        v = variant_frame(spread(frame), max_distance)
-        return verified_pairs(v, v, max_distance, ordered=True)
-    v = variant_frame(spread(_distinct_strings(frame)), max_distance)
-    pairs = _expand(verified_pairs(v, v, max_distance, ordered=True), frame, frame).select(
-        F.least("row_id", "col_id").alias("row"), F.greatest("row_id", "col_id").alias("col"), "dist"
-    )
-    return pairs.unionByName(_equal_strings(frame, frame, ordered=True))
+        return equal_pairs(same)
+    pairs = expand(verified_pairs(variants, variants, max_distance, ordered=True), same, same)
+    ordered = pairs.select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "dist")
+    return ordered.unionByName(equal_pairs(same))
 
 
-def across_frames(
-    query: DataFrame, reference: DataFrame, max_distance: int, repetitive: bool
-) -> DataFrame:
-    if max_distance == 0:
-        return _equal_strings(query, reference, ordered=False)
-    if not repetitive:
-        return verified_pairs(
-            variant_frame(spread(query), max_distance),
-            variant_frame(spread(reference), max_distance),
-            max_distance,
-            ordered=False,
-        )
+def within_frames(frame: DataFrame, max_distance: int) -> DataFrame:
+    reps = representatives(frame)
+    return within_variants(variant_frame(spread(reps), max_distance), members(frame, reps), max_distance)
+
+
+def across_frames(query: DataFrame, reference: DataFrame, max_distance: int) -> DataFrame:
+    q, r = representatives(query), representatives(reference)
     pairs = verified_pairs(
-        variant_frame(spread(_distinct_strings(query)), max_distance),
-        variant_frame(spread(_distinct_strings(reference)), max_distance),
-        max_distance,
-        ordered=False,
-    )
-    return _expand(pairs, query, reference).select(
-        F.col("row_id").alias("row"), F.col("col_id").alias("col"), "dist"
+        variant_frame(spread(q), max_distance), variant_frame(spread(r), max_distance), max_distance, ordered=False
     )
+    return expand(pairs, members(query, q), members(reference, r))
 
 
 def in_order(pairs: DataFrame, sort: bool) -> DataFrame:
@@ -141,11 +117,11 @@ def neighbors_within(
     null strings pair with nothing."""
     check_distance(max_distance)
     frame = normalise(df, id_col, str_col)
-    seen = (
-        profile(frame, max_distance, "query", variant_limit) if validate else InputProfile(0, 0)
-    )
-    frame = frame if validate else frame.dropna()
-    return in_order(within_frames(frame, max_distance, seen.repetitive), sort)
+    if validate:
+        check_strings(frame, max_distance, "query", variant_limit)
+    else:
+        frame = frame.dropna()
+    return in_order(within_frames(frame, max_distance), sort)
 
 
 def neighbors_across(
@@ -165,11 +141,9 @@ def neighbors_across(
     check_distance(max_distance)
     query = normalise(query_df, id_col, str_col)
     reference = normalise(reference_df, reference_id_col or id_col, reference_str_col or str_col)
-    repetitive = False
     if validate:
-        q = profile(query, max_distance, "query", variant_limit)
-        r = profile(reference, max_distance, "reference", variant_limit)
-        repetitive = q.repetitive or r.repetitive
+        check_strings(query, max_distance, "query", variant_limit)
+        check_strings(reference, max_distance, "reference", variant_limit)
     else:
         query, reference = query.dropna(), reference.dropna()
-    return in_order(across_frames(query, reference, max_distance, repetitive), sort)
+    return in_order(across_frames(query, reference, max_distance), sort)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +10,22 @@ from twinstring.errors import (
     DistanceCapError,
     NonAsciiError,
     NullStringError,
+    TooManyStringsError,
     VariantBudgetError,
 )
 from twinstring.functions import is_ascii, variant_count
 
 #: Deletion variants that a single string may have. Long texts at d >= 2 pass it and are refused.
 VARIANT_LIMIT = 1_000_000
-#: With fewer distinct strings than this share of the rows, repeats are joined once.
-COLLAPSE_BELOW = 0.6
-
+#: Strings that results with 32-bit positions can number, of one input and of either
+#: of two. DataFrames have LONG ids and no limit.
+POSITIONS_WITHIN = (1 << 32) - 1
+POSITIONS_ACROSS = (1 << 31) - 1
 
-@dataclass(frozen=True)
-class InputProfile:
-    rows: int
-    distinct: int
 
-    @property
-    def repetitive(self) -> bool:
-        return self.distinct < COLLAPSE_BELOW * self.rows
+def check_size(n: int, side: str, limit: int) -> None:
+    if n > limit:
+        raise TooManyStringsError(side, limit, n)
 
 
 def check_distance(max_distance: int, built_for: int | None = None) -> int:
@@ -49,18 +45,16 @@ def normalise(df: DataFrame, id_col: str, str_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[str_col].cast("string").alias("str"))
 
 
-def profile(
+def check_strings(
     frame: DataFrame, max_distance: int, side: str, variant_limit: int = VARIANT_LIMIT
-) -> InputProfile:
+) -> None:
     """Raises on nulls, on non-ASCII strings (naming the one with the least id) and on
-    strings with too many variants; returns row counts used to choose the plan."""
+    strings with too many variants."""
     bad = F.when(~is_ascii(F.col("str")), F.struct("id", "str"))
     row = frame.agg(
-        F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("id").isNull() | F.col("str").isNull()).alias("nulls"),
         F.min(bad).alias("bad"),
         F.max(variant_count(F.col("str"), max_distance)).alias("widest"),
-        F.approx_count_distinct("str").alias("distinct"),
     ).first()
     if row["nulls"]:
         raise NullStringError(row["nulls"], side)
@@ -68,4 +62,3 @@ def profile(
         raise NonAsciiError(row["bad"]["id"], row["bad"]["str"], side)
     if (row["widest"] or 0) > variant_limit:
         raise VariantBudgetError(side, variant_limit, row["widest"])
-    return InputProfile(row["n"], row["distinct"])

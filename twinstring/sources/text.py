@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import IO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,21 @@ def from_iterable(spark: SparkSession, strings: Iterable[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(id, str)`` of a text file; id is the 0-based line number, blank lines count. Lines end
-    with ``\\n``, and one ``\\r`` before it is taken off. Numbering keeps the file's order and
-    needs one extra pass that only counts the lines of each partition."""
+    with ``\\n``, and one ``\\r`` before it is taken off. Files of a folder count on, in order of
+    their paths. Numbering needs one extra pass, which only counts the lines of each split."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    frame = spark.createDataFrame(numbered, SCHEMA)
-    return frame.select("id", F.regexp_replace("str", "\r$", "").alias("str"))
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),  # consecutive within a split
+        "value",
+    )
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    splits = splits.select("file", "start", offset.alias("offset"))
+    text = F.regexp_replace("value", "\r\\z", "").alias("str")
+    return lines.join(splits, ["file", "start"]).select((F.col("offset") + F.col("at")).alias("id"), text)
 
 
 def pair_lines(pairs: DataFrame, zero_index: bool = False) -> DataFrame:
