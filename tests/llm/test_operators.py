@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from twinstring.llm import brown_lm, decontaminate, html_text, mixing, registry, toxicity, url_filter
+from pyarrow import orc
+from tokenizers import Tokenizer
+from twinstring.llm import brown_lm, decontaminate, exact_dedup, html_text, mixing, registry, toxicity, url_filter
 from twinstring.llm.exact_dedup import chunks, exact_copies
 from twinstring.llm.language_id import identify
 from twinstring.llm.ngram_join import jaccard_components
@@ -65,6 +68,21 @@ def test_exact(docs, corpus):
         assert tuple(got[i]) == (i, max(g), len(g), i == max(g), sha)
 
 
+@pytest.mark.parametrize("name", [lambda c: F.lit(7).cast("long"), lambda c: F.length(c).cast("long")])
+def test_exact_with_colliding_identifiers(docs, corpus, name, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "identifier", name)
+    both = docs.unionByName(docs.where("doc_id % 2 = 0")).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    got = Counter(map(tuple, exact_copies(both).collect()))
+    monkeypatch.undo()
+    assert got == Counter(map(tuple, exact_copies(both).collect()))
+    rows = [(i, t or "") for i, t in both.select("doc_id", "text").collect()]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    keep = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    assert got == Counter((i, keep[t], len(groups[t]), i == keep[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+
+
 def test_chunks_are_the_text(docs, corpus):
     rows = docs.select("text", F.concat_ws("", chunks(F.col("text"))).alias("again")).collect()
     assert all((r["text"] or "") == r["again"] for r in rows)
@@ -123,8 +141,6 @@ def test_mix_of_repeated_rows(spark):
 
 
 def test_tokens_round_trip(spark, docs, corpus, tmp_path):
-    from tokenizers import Tokenizer
-
     path = registry.tokenizer_path()
     t = Tokenizer.from_file(path)
     want, start = {}, 0
@@ -146,7 +162,46 @@ def test_encoder_on_odd_white_space():
     rng = random.Random(5)
     bits = ["a", "B", " ", " ", "  ", "\n", "\t", ".", "!!", "é", "1", "'s", "'", "\u00a0", "日本", "\r\n", "the", "’", "<|endoftext|>"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(3000)]
-    assert enc.encode(texts) == enc._ids(texts)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    assert enc.encode(["<|endoftext|>"]) == [np.array([50256], "<u4").tobytes()]
+
+
+def test_starts_over_several_files_a_task(spark, docs, corpus):
+    path = registry.tokenizer_path()
+    want = {r["doc_id"]: r["start"] for r in tokenize(docs, path).collect()}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert {r["doc_id"]: r["start"] for r in tokenize(docs, path).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def scanned(df):
+    """Rows that the scan of a plan gave up, after what it skipped."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    out = f"file://{tmp_path}/t"
+    d = spark.range(0, 24_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    write_tokens(d.repartition(3), out, open(registry.tokenizer_path(), encoding="utf-8").read())
+    everything = read_tokens(spark, out)
+    assert scanned(everything.select("n_tokens")) == 12_000
+    some = everything.select("doc_id", "n_tokens")
+    assert 1 <= scanned(some.where("doc_id = 8000")) <= 1000  # row index
+    assert scanned(some.where("doc_id = 8001")) <= 1000  # no such id: Bloom filter, but for its errors
+    absent = [scanned(some.where(f"doc_id = {i}")) for i in range(5001, 5021, 2)]
+    assert sum(n == 0 for n in absent) >= 7
+    assert scanned(some.where("doc_id = 900000")) == 0
+    files = [orc.ORCFile(f) for f in tmp_path.glob("t/*.orc")]
+    assert sum(f.nrows for f in files) == 12_000
+    assert all(f.row_index_stride == 1000 and f.nstripes >= 1 for f in files)
+    raw = sum(f.content_length for f in files)
+    assert raw < 12_000 * 4 * everything.agg(F.avg("n_tokens")).first()[0]  # run lengths: under 4 bytes an id
 
 
 def best_distance(item, text):
@@ -266,12 +321,24 @@ def test_pipeline_stages_on_repeated_ids(spark):
     assert all(n <= (12 if t == a else 2) for (_, t), n in out.items())
 
 
+def all_segments(x):
+    """Maximal-scoring segments by their definition: the best one, then those on either side."""
+    spans = [(sum(x[i:j]), i - j, -i, i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+    if not spans or max(spans)[0] <= 0:
+        return []
+    best, _, _, i, j = max(spans)
+    return [*all_segments(x[:i]), best, *all_segments(x[j:])]
+
+
 def test_segments():
     rng = random.Random(2)
     for _ in range(200):
         x = [rng.choice([-3, -1, 1, 2, 4]) for _ in range(rng.randrange(1, 15))]
-        best = max(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))
-        assert max(toxicity.segments(np.array(x)), default=best) == max(best, 0) or best <= 0
+        assert sorted(toxicity.segments(np.array(x))) == sorted(all_segments(x))
+    falling = np.tile([1.0, -2.0], 200_000)  # no candidate ever joins another
+    began = time.process_time()
+    assert len(toxicity.segments(falling)) == 200_000
+    assert time.process_time() - began < 20  # a quadratic scan takes hours
 
 
 def test_toxicity_held_out(spark):
@@ -388,6 +455,20 @@ def test_url_rules(spark):
     ]
 
 
+def test_urls_against_every_rule(spark):
+    rng = random.Random(3)
+    rules = [(rng.choice(["allow", "block"]), ".".join(rng.choices("ab", k=rng.randrange(4))), "/" + "".join(rng.choices("xy/", k=rng.randrange(5)))) for _ in range(60)]
+    urls = ["://".join(["h", ".".join(rng.choices("ab", k=rng.randrange(1, 5))) + "/" + "".join(rng.choices("xy/", k=rng.randrange(6)))]) for _ in range(400)]
+    rows = [(i, u, "x", 1) for i, u in enumerate([*urls, None, ""])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, host int")
+    for r in url_filter.judge_urls(pages, rules).collect():
+        fit = [(len(h.split(".")) if h else 0, len(p), v == "block", h + p, v) for v, h, p in rules
+               if (not h or r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        best = max(fit, default=(0, 0, False, None, "allow"))
+        assert (r["rule"], r["verdict"]) == best[3:]
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
 def test_language_model(docs, corpus):
     tok = {i: [*WORD.findall(lower(t)), "\0"] for i, t, *_ in corpus}
     count = Counter()
@@ -439,6 +520,13 @@ def test_languages_and_classes_beat_chance(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+    # rows of a null id teach as one a language, repeated ones and ties as one
+    some = docs.where("lang IS NOT NULL AND length(text) > 200")
+    null = some.withColumn("doc_id", F.lit(None).cast("long"))
+    again = identify(null.unionByName(null).withColumn("l", F.lit("x")).withColumn("id", F.lit(2)))
+    langs = {r["lang"] for r in some.select("lang").distinct().collect()}
+    assert {r["lang_pred"] for r in again.select("lang_pred").distinct().collect()} <= langs
+    assert again.where("held_out").count() == 0
     r = brown_lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
 
