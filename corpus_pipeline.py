@@ -3,6 +3,12 @@
 Every function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``.
+
+Null and empty texts are documents without words: never toxic, near copies of nothing, free of
+benchmark items, taken once, and written as their end alone. Rows with a null doc_id stay until
+the mix, which takes them as any others. Rows that repeat a doc_id share the verdict on its
+toxicity and benchmark items; as near copies and in the mix each row counts for itself. Extra
+columns are dropped; empty tables pass through as empty ones.
 """
 
 from __future__ import annotations
@@ -24,7 +30,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go, with all rows of their doc_id; rows with a
+    null doc_id stay."""
     judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     toxic = judged.where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
     return docs.join(toxic, docs["doc_id"] == F.col("toxic_id"), "left_anti").select(COLUMNS)
@@ -32,7 +39,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, the
-    one with the least doc_id stays."""
+    one with the least doc_id stays; of equal rows that repeat a doc_id, one."""
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         return _one_row_each(docs)
@@ -57,7 +64,7 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their doc_id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, benchmark).select(COLUMNS)
 
@@ -98,7 +105,8 @@ STAGES = [
     ("token_orc", write_tokens),
 ]
 
-#: The tokenizer's output is beyond SQL; tests hold the stages against brute force.
+#: The tokenizer's output is beyond SQL; tests/llm/test_pipeline.py holds the stages against plain
+#: Python.
 ORACLE_SQL = None
 
 
