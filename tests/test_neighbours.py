@@ -105,7 +105,29 @@ def test_errors(spark):
     with pytest.raises(ts.NullStringError):
         ts.neighbors_within(spark.createDataFrame([(1, None)], "id long, str string"))
     with pytest.raises(ts.VariantBudgetError):
-        ts.get_neighbors_within(["a" * 5000], 2)
+        ts.CachedRef(["a" * 5000], 2)
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_long_strings(spark, d):
+    rng = random.Random(d)
+    strings = ["".join(rng.choices("abc", k=rng.choice([0, 1, 2, 5, 8, 9, 10, 11, 12, 30]))) for _ in range(40)]
+    for s in strings[:20] * 2:
+        s = list(s)
+        for _ in range(rng.randrange(d + 2)):
+            j = rng.randrange(len(s) + 1)
+            s[j : j + rng.randrange(2)] = rng.choices("abc", k=rng.randrange(2))
+        strings.append("".join(s))
+    df = from_iterable(spark, strings)
+    limit = {1: 1, 2: 60, 3: 200}[d]  # all strings pass it, or some
+    got = ts.neighbors_within(df, max_distance=d, variant_limit=limit, sort=True).collect()
+    assert [tuple(r) for r in got] == brute_within(strings, d)
+    q, r = strings[:30], strings[30:]
+    got = ts.neighbors_across(from_iterable(spark, q), from_iterable(spark, r), max_distance=d, variant_limit=limit, sort=True)
+    want = [(i, j, lev(a, b)) for i, a in enumerate(q) for j, b in enumerate(r) if lev(a, b) <= d]
+    assert [tuple(x) for x in got.collect()] == want
+    text = "".join(rng.choices("abcdefgh", k=3000))
+    assert triples(ts.get_neighbors_within([text, text[:1500] + text[1501:], text[::-1]], d)) == [(0, 1, 1)]
 
 
 def test_functions(spark):

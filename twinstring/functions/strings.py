@@ -40,6 +40,45 @@ def variant_hashes(text: Column, max_distance: int) -> Column:
     return F.transform(deletion_variants(text, max_distance), lambda v: F.xxhash64(v))
 
 
+def _segment(length: Column, i: Column, max_distance: int) -> tuple[Column, Column]:
+    """Start and size of segment i of ``max_distance + 1`` nearly equal ones, the longer ones last."""
+    parts = max_distance + 1
+    size = F.floor(length / parts).cast("int")
+    short = parts - length % parts
+    return i * size + F.greatest(i - short, F.lit(0)), size + F.when(i >= short, 1).otherwise(0)
+
+
+def segment_hashes(text: Column, max_distance: int) -> Column:
+    """Keys of the segments of a string: its length, the segment's number and content."""
+
+    def key(i: Column) -> Column:
+        at, size = _segment(F.length(text), i, max_distance)
+        return F.xxhash64(F.length(text), i, F.substring(text, at + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(max_distance)), key)
+
+
+def probe_hashes(text: Column, max_distance: int) -> Column:
+    """Keys of the segments that strings within ``max_distance`` can have in common with this one.
+    Of d + 1 segments one at least has no edit, and it is shifted by d places at most."""
+    n = F.length(text)
+    numbers = F.sequence(F.lit(0), F.lit(max_distance))
+    shifts = F.sequence(F.lit(-max_distance), F.lit(max_distance))
+
+    def keys(length: Column) -> Column:
+        def of(i: Column) -> Column:
+            at, size = _segment(length, i, max_distance)
+            inside = lambda s: (at + s >= 0) & (at + s + size <= n)
+            return F.transform(
+                F.filter(shifts, inside), lambda s: F.xxhash64(length, i, F.substring(text, at + s + 1, size))
+            )
+
+        return F.flatten(F.transform(numbers, of))
+
+    lengths = F.sequence(F.greatest(n - max_distance, F.lit(0)), n + max_distance)
+    return F.array_distinct(F.flatten(F.transform(lengths, keys)))
+
+
 def variant_count(text: Column, max_distance: int) -> Column:
     """Sum of C(n, k) for k = 0 .. min(d, n) as DOUBLE: variants before removing repeats."""
     n = F.length(text).cast("double")

@@ -44,7 +44,7 @@ class NeighborIndex:
         self.max_distance = check_distance(max_distance)
         frame = normalise(df, id_col, str_col)
         if validate:
-            check_strings(frame, max_distance, "reference", variant_limit)
+            check_strings(frame, max_distance, "reference", variant_limit, refuse=True)
         else:
             frame = frame.dropna()
         self.spark = df.sparkSession
@@ -103,7 +103,7 @@ class NeighborIndex:
         else:
             frame = normalise(query, id_col, str_col)
             if validate:
-                check_strings(frame, max_distance, "query")
+                check_strings(frame, max_distance, "query", refuse=True)
             else:
                 frame = frame.dropna()
             reps = representatives(frame)

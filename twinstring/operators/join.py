@@ -7,6 +7,10 @@ the expansion, so without it a frame of millions of variants is taken for a broa
 
 Equal strings share every variant, so each distinct string is expanded and joined once, and its
 rows join the pairs afterwards.
+
+Strings with too many variants are cut into d + 1 segments instead, of which a string within
+distance d holds one at least, shifted by d places at most (Li, Deng, Wang and Feng 2011): an
+equi-join on (length, segment number, content), verified in the same way.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.functions import variant_hashes
-from twinstring.plans.checks import VARIANT_LIMIT, check_distance, check_strings, normalise
+from twinstring.functions import probe_hashes, segment_hashes, variant_hashes
+from twinstring.plans.checks import VARIANT_LIMIT, check_distance, check_strings, long_from, normalise
 
 
 def spread(frame: DataFrame) -> DataFrame:
@@ -32,9 +36,10 @@ def variant_frame(frame: DataFrame, max_distance: int) -> DataFrame:
 
 
 def verified_pairs(
-    left: DataFrame, right: DataFrame, max_distance: int, ordered: bool
+    left: DataFrame, right: DataFrame, max_distance: int, ordered: bool, least_longer: int = 0
 ) -> DataFrame:
-    """Pairs of two variant frames, each once. ``ordered`` keeps those with row < col."""
+    """Pairs of two frames (h, id, str), each once. ``ordered`` keeps those with row < col;
+    the longer string has ``least_longer`` characters at least."""
     a = left.select("h", F.col("id").alias("row"), F.col("str").alias("a"))
     b = right.select("h", F.col("id").alias("col"), F.col("str").alias("b")).hint("merge")
     on = (
@@ -44,6 +49,8 @@ def verified_pairs(
     )
     if ordered:
         on = on & (F.col("row") < F.col("col"))
+    if least_longer:
+        on = on & (F.greatest(F.length("a"), F.length("b")) >= least_longer)
     dist = F.levenshtein(F.col("a"), F.col("b"), max_distance).cast("int").alias("dist")
     return a.join(b, on).select("row", "col", dist).distinct()
 
@@ -75,25 +82,52 @@ def equal_pairs(same: DataFrame) -> DataFrame:
     return a.join(b, "rep").where("row < col").select("row", "col", F.lit(0).alias("dist"))
 
 
+def rep_pairs(
+    left: DataFrame, right: DataFrame, max_distance: int, ordered: bool, long: bool, variant_limit: int
+) -> DataFrame:
+    """Pairs of distinct strings. Those under the limit meet by variants; where there are ``long``
+    ones, they meet each other and strings about as long by segments."""
+    x = spread(left)
+    y = x if right is left else spread(right)
+    if not long:
+        return verified_pairs(variant_frame(x, max_distance), variant_frame(y, max_distance), max_distance, ordered)
+    m = long_from(max_distance, variant_limit)
+    short = [variant_frame(f.where(F.length("str") < m), max_distance) for f in (x, y)]
+    near = [f.where(F.length("str") >= m - max_distance) for f in (x, y)]
+    probes = near[0].select(F.explode(probe_hashes(F.col("str"), max_distance)).alias("h"), "id", "str")
+    segments = near[1].select(F.explode(segment_hashes(F.col("str"), max_distance)).alias("h"), "id", "str")
+    return verified_pairs(*short, max_distance, ordered).unionByName(
+        verified_pairs(probes, segments, max_distance, ordered, m)
+    )
+
+
+def with_repeats(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """Pairs row < col of the rows behind pairs of distinct strings of one frame."""
+    pairs = expand(pairs, same, same)
+    ordered = pairs.select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "dist")
+    return ordered.unionByName(equal_pairs(same))
+
+
 def within_variants(variants: DataFrame, same: DataFrame, max_distance: int) -> DataFrame:
     """Pairs of the rows behind a variant frame of distinct strings and their ``members``."""
     if max_distance == 0:
         return equal_pairs(same)
-    pairs = expand(verified_pairs(variants, variants, max_distance, ordered=True), same, same)
-    ordered = pairs.select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "dist")
-    return ordered.unionByName(equal_pairs(same))
+    return with_repeats(verified_pairs(variants, variants, max_distance, ordered=True), same)
 
 
-def within_frames(frame: DataFrame, max_distance: int) -> DataFrame:
+def within_frames(frame: DataFrame, max_distance: int, long: bool = False, variant_limit: int = VARIANT_LIMIT) -> DataFrame:
     reps = representatives(frame)
-    return within_variants(variant_frame(spread(reps), max_distance), members(frame, reps), max_distance)
+    same = members(frame, reps)
+    if max_distance == 0:
+        return equal_pairs(same)
+    return with_repeats(rep_pairs(reps, reps, max_distance, True, long, variant_limit), same)
 
 
-def across_frames(query: DataFrame, reference: DataFrame, max_distance: int) -> DataFrame:
+def across_frames(
+    query: DataFrame, reference: DataFrame, max_distance: int, long: bool = False, variant_limit: int = VARIANT_LIMIT
+) -> DataFrame:
     q, r = representatives(query), representatives(reference)
-    pairs = verified_pairs(
-        variant_frame(spread(q), max_distance), variant_frame(spread(r), max_distance), max_distance, ordered=False
-    )
+    pairs = rep_pairs(q, r, max_distance, False, long and max_distance > 0, variant_limit)
     return expand(pairs, members(query, q), members(reference, r))
 
 
@@ -114,14 +148,16 @@ def neighbors_within(
     """All ``(row LONG, col LONG, dist INT)`` with row < col and Levenshtein distance at most
     ``max_distance``. Ids must be unique. Empty strings are ordinary strings, an empty input
     gives no pairs; nulls and non-ASCII strings raise unless ``validate`` is off, and then
-    null strings pair with nothing."""
+    null strings pair with nothing. Strings with more than ``variant_limit`` deletion variants are
+    compared by segments, where inputs are validated."""
     check_distance(max_distance)
     frame = normalise(df, id_col, str_col)
+    long = False
     if validate:
-        check_strings(frame, max_distance, "query", variant_limit)
+        long = check_strings(frame, max_distance, "query", variant_limit)
     else:
         frame = frame.dropna()
-    return in_order(within_frames(frame, max_distance), sort)
+    return in_order(within_frames(frame, max_distance, long, variant_limit), sort)
 
 
 def neighbors_across(
@@ -141,9 +177,10 @@ def neighbors_across(
     check_distance(max_distance)
     query = normalise(query_df, id_col, str_col)
     reference = normalise(reference_df, reference_id_col or id_col, reference_str_col or str_col)
+    long = False
     if validate:
-        check_strings(query, max_distance, "query", variant_limit)
-        check_strings(reference, max_distance, "reference", variant_limit)
+        long = check_strings(query, max_distance, "query", variant_limit)
+        long |= check_strings(reference, max_distance, "reference", variant_limit)
     else:
         query, reference = query.dropna(), reference.dropna()
-    return in_order(across_frames(query, reference, max_distance), sort)
+    return in_order(across_frames(query, reference, max_distance, long, variant_limit), sort)

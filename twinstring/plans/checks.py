@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from twinstring.errors import (
 )
 from twinstring.functions import is_ascii, variant_count
 
-#: Deletion variants that a single string may have. Long texts at d >= 2 pass it and are refused.
+#: Deletion variants that a single string may have. Long texts at d >= 2 pass it; joins compare them by
+#: segments, indexes refuse them.
 VARIANT_LIMIT = 1_000_000
 #: Strings that results with 32-bit positions can number, of one input and of either
 #: of two. DataFrames have LONG ids and no limit.
@@ -46,10 +49,10 @@ def normalise(df: DataFrame, id_col: str, str_col: str) -> DataFrame:
 
 
 def check_strings(
-    frame: DataFrame, max_distance: int, side: str, variant_limit: int = VARIANT_LIMIT
-) -> None:
-    """Raises on nulls, on non-ASCII strings (naming the one with the least id) and on
-    strings with too many variants."""
+    frame: DataFrame, max_distance: int, side: str, variant_limit: int = VARIANT_LIMIT, refuse: bool = False
+) -> bool:
+    """Raises on nulls and on non-ASCII strings (naming the one with the least id). True if a
+    string has too many variants, which raises too under ``refuse``."""
     bad = F.when(~is_ascii(F.col("str")), F.struct("id", "str"))
     row = frame.agg(
         F.count_if(F.col("id").isNull() | F.col("str").isNull()).alias("nulls"),
@@ -60,5 +63,19 @@ def check_strings(
         raise NullStringError(row["nulls"], side)
     if row["bad"] is not None:
         raise NonAsciiError(row["bad"]["id"], row["bad"]["str"], side)
-    if (row["widest"] or 0) > variant_limit:
+    long = (row["widest"] or 0) > variant_limit
+    if long and refuse:
         raise VariantBudgetError(side, variant_limit, row["widest"])
+    return long
+
+
+def long_from(max_distance: int, variant_limit: int) -> int:
+    """Least length of a string with more deletion variants than ``variant_limit``."""
+    few, many = 0, 1
+    wide = lambda n: sum(comb(n, k) for k in range(max_distance + 1)) > variant_limit
+    while not wide(many):
+        few, many = many, 2 * many
+    while many - few > 1:
+        mid = (few + many) // 2
+        few, many = (few, mid) if wide(mid) else (mid, many)
+    return many
