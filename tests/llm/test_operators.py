@@ -545,3 +545,60 @@ def test_no_rows_and_no_labels(spark, no_docs, docs):
     assert brown_lm.score(no_docs).count() == 0
     assert identify(no_docs).count() == 0
     assert {r["lang_pred"] for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+ODD = "doc_id long, text string, lang string, source string, size int, score string, row long, id long, part int, toxic int, comp string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, ties, a text of 60,000 words, and columns named like the operators'."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(700)}" for _ in range(n))
+    rows = [(i, text(30), "en" if i % 2 else "fr", f"s{i % 3}") for i in range(120)]
+    rows += [(5, rows[5][1], "en", "s1")] * 2 + [(7, text(20), None, None)] + [(None, t, "de", None) for t in ("", None, rows[9][1], rows[9][1])]
+    rows += [(300, text(60_000), "en", "s0"), (301, " ", None, "s0"), (302, "12 34 !", "en", None), (303, "x" * 90_000, "fr", "s2")]
+    return spark.createDataFrame([(*r, 1, "x", 2, 3, 4, 5, "y") for r in rows], ODD).repartition(3).cache()
+
+
+def odd_labels(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(120)] + [(None, 1), (5, None), (5, 1), (20, 0)]
+    return spark.createDataFrame([(*r, "text", 0.5) for r in rows], "doc_id long, toxic int, text string, score double")
+
+
+OPERATORS = {
+    "tokens": lambda d: tokenize(d, registry.tokenizer_path()).drop("start"),
+    "mixing": mixing.mix_sources,
+    "toxicity": lambda d: toxicity.toxicity(d, odd_labels(d.sparkSession)),
+    "jaccard": jaccard_components,
+    "language_model": brown_lm.score,
+    "exact": exact_copies,
+    "language": identify,
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(odd, name):
+    got = OPERATORS[name](odd).collect()
+    want = Counter(r["doc_id"] for r in odd.select("doc_id").collect())
+    assert Counter(r["doc_id"] for r in got) == want
+    for r in got:
+        assert all(v is not None for k, v in r.asDict().items() if k not in ("doc_id", "keep_id", "component_id"))
+    if name not in ("mixing",):  # there, rows that are alike share copies
+        same = [tuple(r) for r in got if r["doc_id"] == 5]
+        assert len(same) == 3
+        assert len(set(same)) == 1
+    if name == "jaccard":
+        assert {r["component_id"] for r in got if r["doc_id"] is None} == {None}
+        assert next(r["n_shingles"] for r in got if r["doc_id"] == 300) == 59_996
+    if name == "language":
+        assert {r["lang_pred"] for r in got if r["doc_id"] in (301, 302)} == {"und"}
+
+
+def test_empty_pages_and_documents(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_text.extract(pages).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f", 2)], "item_id long, text string, doc_id int")
+    assert decontaminate.benchmark_hits(docs, bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench).count() == 0
