@@ -29,10 +29,15 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
 
 
+def identifier(chunk: Column) -> Column:
+    """Short name of a chunk, verified later."""
+    return F.xxhash64(chunk)
+
+
 def _verified(recipes: DataFrame) -> DataFrame:
     """Chunk identifiers ``key`` that stand for more than one content, each content with its
-    ``rank``. A chunk is checked by its SHA-256 and length; equal chunks are combined before
-    anything is moved, and only identifiers of recipes that occur twice matter."""
+    ``rank``. A chunk is checked by its SHA-256; equal chunks are combined before anything is
+    moved, and only identifiers of recipes that occur twice matter."""
     seen = recipes.select(F.explode("checks").alias("c")).select("c.key", "c.sha").distinct()
     clash = seen.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_set("sha")).alias("shas"))
     return clash.where("m > 1").select("key", F.posexplode("shas").alias("rank", "sha"))
@@ -53,9 +58,10 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     )
     rows = stash(
         cut.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             "text_sha256",
-            F.transform("chunks", lambda c: F.xxhash64(c)).alias("keys"),
+            F.transform("chunks", lambda c: identifier(c)).alias("keys"),
             F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("shas"),
         ),
         "recipes",
@@ -72,20 +78,24 @@ def exact_copies(docs: DataFrame) -> DataFrame:
         recipes = rows.select("doc_id", "text_sha256", F.col("keys").alias("recipe"))
     else:
         ranked = (
-            rows.select("doc_id", "text_sha256", "keys", F.posexplode_outer("shas").alias("pos", "sha"))
+            rows.select("row", "doc_id", "text_sha256", "keys", F.posexplode_outer("shas").alias("pos", "sha"))
             .withColumn("key", F.col("keys")[F.col("pos")])
             .join(clash, ["key", "sha"], "left")
         )
-        recipes = ranked.groupBy("doc_id", "text_sha256").agg(
-            F.sort_array(F.collect_list(F.struct("pos", "key", F.coalesce("rank", F.lit(0)).alias("rank")))).alias("recipe")
+        part = F.struct("pos", "key", F.coalesce("rank", F.lit(0)).alias("rank"))
+        recipes = ranked.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.sort_array(F.collect_list(part)).alias("recipe")
         )
+        recipes = stash(recipes.drop("row"), "recipes")
     groups = recipes.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    return recipes.join(groups, "recipe").select(
+    # Written, so that a recipe of a third of all rows is a plain side of a join, which Spark splits.
+    groups = stash(groups.where("group_size > 1"), "groups")
+    return recipes.join(groups.hint("merge"), "recipe", "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
