@@ -13,14 +13,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinstring.llm.shared import crc_mod, freed, plain, stash
 from twinstring.llm.words import BLOCK_BYTES, LOWER, lists, text_column
 
-#: Labelled documents per language that are trained on at most, those of least hash.
+#: Labelled documents per language that are trained on at most, those of least hash; and of all
+#: languages, with FIT_LEAST of each at least.
 FIT_ROWS = 400
+FIT_ALL = 8_000
+FIT_LEAST = 20
+#: Languages whose counts may be broadcast; checked by a count.
+LANGUAGES_BROADCAST = 10_000
 DIMENSIONS = 1 << 13
 ORDERS = 4
 UNKNOWN = "und"
@@ -175,24 +180,31 @@ def _sparse(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Model:
     """Model of ``docs`` (doc_id, text, lang): rows outside the held-out fold with a language
-    and a letter, at most FIT_ROWS of each language."""
+    and a letter, at most FIT_ROWS of each language. Rows that share a doc_id (null is one too)
+    and a language count as one, with the least text."""
     usable = docs.where(
         F.col("lang").isNotNull()
         & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))
         & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     )
-    # A row number per language needs only ids, and each task's first rows at first.
-    from pyspark.sql import Window
-
-    part = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = ids.withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    ids = ids.withColumn("r", F.row_number().over(part)).where(F.col("r") <= FIT_ROWS)
-    ids = ids.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= FIT_ROWS)
-    ids = stash(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct(), "fit-ids")
+    # Ids are thinned by hash to some more than are wanted before they are ranked, so that a
+    # language of a third of all rows is counted in every task but never gathered.
+    ids = usable.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+    ids = stash(ids.select("id", "l", F.xxhash64("id").alias("h")), "fit-ids")
+    counts = ids.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    want = max(FIT_LEAST, min(FIT_ROWS, FIT_ALL // max(1, languages)))
+    share = F.least(F.lit(1.0), F.lit(2.0 * want + 100) / F.col("n"))
+    counts = counts.select("l", (share * float(1 << 63)).alias("most"))
+    if languages <= LANGUAGES_BROADCAST:  # else ids would be dealt by language before they are thinned
+        counts = F.broadcast(counts)
+    first = Window.partitionBy("l").orderBy("h", "id")
+    ids = ids.join(counts, "l").where(F.abs(F.col("h").cast("double")) <= F.col("most"))
+    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= want).select("id", "l")
+    ids = stash(ids, "fit-ids")
     small = F.broadcast(ids) if ids.count() <= 100_000 else ids
-    sample = usable.join(small, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")), "left_semi")
+    sample = usable.join(small, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = _sparse(sample).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], len(r["slots"]), r["slots"][:8], r["values"][:8]))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
