@@ -35,7 +35,7 @@ BLOCK_ROWS = 2000
 #: Offsets of the rounding that are tried for each source.
 OFFSETS = 32
 #: A multiplier is found when the source's words are off target by such a share; Newton steps at
-#: most (the bracket alone would need 60).
+#: most (from a quarter of them, every other one halves the bracket, as far as it goes).
 TOLERANCE = 1e-7
 STEPS = 80
 #: (source, size) cells that may be broadcast, some 100 bytes each; checked by a count.
@@ -130,7 +130,7 @@ def multipliers(cells: DataFrame, sources: DataFrame, most: float) -> DataFrame:
         newton = F.col("x") - gap / F.nullif("bend", F.lit(0.0))
         lo = F.when(gap < 0, F.col("x")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("x")).otherwise(F.col("hi"))
-        safe = (F.col("bend") > 0) & (newton > lo) & (newton < hi) & F.lit(step % 4 != 3)
+        safe = (F.col("bend") > 0) & (newton > lo) & (newton < hi) & F.lit(step < STEPS // 4 or step % 2 == 0)
         found = (F.abs(gap) <= F.col("target") * TOLERANCE) | ((hi - lo) <= F.abs(hi + lo) * 1e-15)
         after = state.join(sums, _same(state, sums), "left").select(
             state["source"],
