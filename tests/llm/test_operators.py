@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyarrow import orc
 from tokenizers import Tokenizer
-from twinstring.llm import brown_lm, decontaminate, exact_dedup, html_text, mixing, registry, toxicity, url_filter
+from twinstring.llm import brown_lm, decontaminate, exact_dedup, html_text, mixing, ngram_join, registry, toxicity, url_filter
 from twinstring.llm.exact_dedup import chunks, exact_copies
 from twinstring.llm.language_id import identify
 from twinstring.llm.ngram_join import jaccard_components
@@ -57,6 +57,28 @@ def test_jaccard(docs, corpus, k, num, den):
     }
 
 
+@pytest.mark.parametrize("many_pairs", [ngram_join.MANY_PAIRS, 0])
+def test_jaccard_links_of_a_groups_other_classes(spark, monkeypatch, many_pairs):
+    """Of three texts, two share size and prefix, so that they are one group, but are too far apart
+    to link (94 of 106 words); the third is near both (97 of 104) and in no group with them."""
+    monkeypatch.setattr(ngram_join, "MANY_PAIRS", many_pairs)
+    rng = random.Random(5)
+    usual = [f"c{j}" for j in range(40)]
+    texts, want = [], []
+    for c in range(12):
+        own = [f"u{c}_{j}" for j in range(94)]
+        some = rng.sample(usual, 12)
+        three = [own + some[:6], own + some[6:], own + some[3:9] + [f"x{c}"]]
+        want += [len(texts)] * 3
+        texts += [three[(c + j) % 3] for j in range(3)]  # each comes first in a third of them
+    for i in range(60):  # makes usual words frequent, so that they are in no prefix
+        want.append(len(texts))
+        texts.append(rng.sample(usual, 30) + [f"f{i}_{j}" for j in range(70)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = by_id(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 0.9))
+    assert [got[i]["component_id"] for i in range(len(rows))] == want
+
+
 def test_exact(docs, corpus):
     groups = {}
     for i, t, *_ in corpus:

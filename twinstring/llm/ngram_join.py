@@ -10,9 +10,10 @@ verified on the shingle sets of their whole texts.
 The result is linked components, so a pair inside one component need not be looked at. Pivot
 rounds compare each entry of a bucket (the groups that share a prefix shingle) with one pivot
 only and end with the buckets that still hold several components; the last round compares,
-exactly, every entry outside a bucket's largest component with all others. A bucket of thousands
-of near copies thus costs a few comparisons per member, and no link between different texts is
-lost. Buckets of very frequent shingles are dealt over several tasks by a salt.
+exactly, every entry outside a bucket's largest component with all others. A group whose classes
+are in several components is outside of all. A bucket of thousands of near copies thus costs a few
+comparisons per member, and no link between different texts is lost. Buckets of very frequent
+shingles are dealt over several tasks by a salt.
 """
 
 from __future__ import annotations
@@ -319,12 +320,19 @@ def _entries(rows: DataFrame, classes: DataFrame, ratio: float) -> DataFrame:
     return each.select("h", "gid", "n", "pos", "band", F.col("pivot.gid").alias("pivot"), F.col("pivot.n").alias("pn"))
 
 
-def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(h, gid, n, pos, band, comp)`` of the buckets that hold several components."""
+def _open(entries: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(h, gid, n, pos, band, comp, mixed)`` of the buckets that hold several components: that
+    of a group's first class, and whether other classes of the group are in others."""
+    mixed = (
+        classes.join(labels, "id").groupBy(F.col("gid").alias("id"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        .select("id", F.lit(True).alias("mixed"))
+    )
+    labels = labels.join(mixed, "id", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     e = entries.select(_whole(F.col("h")).alias("h"), F.col("gid").alias("id"), "n", "pos", "band").join(labels, "id")
-    apart = e.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    e = e.join(apart.select("h").hint("merge"), "h")
-    return e.select("h", F.col("id").alias("gid"), "n", "pos", "band", "comp")
+    apart = e.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mix"))
+    e = e.join(apart.where("lo <> hi OR mix").select("h").hint("merge"), "h")
+    return e.select("h", F.col("id").alias("gid"), "n", "pos", "band", "comp", "mixed")
 
 
 def _first_pairs(entries: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -363,55 +371,65 @@ def _pivot_pairs(
 
 
 def _all_pairs(
-    opened: DataFrame, classes: DataFrame, labels: DataFrame, bits: DataFrame, num: int, den: int
-) -> DataFrame:
+    opened: DataFrame, classes: DataFrame, several: DataFrame, labels: DataFrame, bits: DataFrame, num: int, den: int
+) -> tuple[DataFrame, list[DataFrame]]:
     """All pairs of classes of a bucket's groups, and of a group, in different components. In a
     bucket one side of a pair is outside its largest component: a third of all rows in one
-    component costs one comparison per row and such an entry. In buckets of many pairs the short
-    bitmaps are compared inside the join: those of two groups' first classes, as far apart as
-    the groups' classes may be and each group's are among themselves."""
-    sizes = opened.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    component costs one comparison per row and such an entry. A group whose classes are in several
+    components is outside and meets all groups, its first class's component too. In buckets of
+    many pairs the short bitmaps are compared inside the join: those of two groups' first classes,
+    as far apart as the groups' classes may be and each group's are among themselves. Those of two
+    classes are compared where groups are expanded. Also the tables that the pairs are read from."""
+    sizes = opened.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("mixed")).alias("m"))
     main = sizes.groupBy("h").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("main"),
-        ((F.sum("m") - F.max("m")) * F.sum("m") > MANY_PAIRS).alias("many"),
+        ((F.sum("total") - F.max("m")) * F.sum("total") > MANY_PAIRS).alias("many"),
     )
-    e = stash(opened.join(main.hint("merge"), "h"), "buckets")
-    many = classes.join(labels, "id")
+    e = opened.join(main.hint("merge"), "h")
+    e = stash(e.withColumn("inner", ~F.col("mixed") & (F.col("comp") == F.col("main"))).drop("main"), "buckets")
     short = bits.select("id", "short")
     radius = (
-        classes.where("id <> gid").join(short, "id")
+        several.where("id <> gid").join(short, "id")
         .join(short.select(F.col("id").alias("gid"), F.col("short").alias("first")), "gid")
         .groupBy("gid").agg(F.max(_short_apart("short", "first")).alias("radius"))
     )
     heads = short.withColumnRenamed("id", "gid").join(radius, "gid", "left").withColumn("radius", F.coalesce("radius", F.lit(0)))
     ahead = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     room = (ahead + F.least("pos1", "pos2")) * (num + den) >= (F.col("n1") + F.col("n2")) * num
-    once = (F.col("comp2") == F.col("main2")) | (F.col("gid1") < F.col("gid2"))
-    on = (F.col("comp1") != F.col("comp2")) & once & _fits("n1", "n2", num, den) & room
-    least = _short_apart("short1", "short2") - F.col("radius1") - F.col("radius2")
-    near = least * (num + den) <= (F.col("n1") + F.col("n2")) * (den - num)
+    apart = F.col("mixed1") | F.col("mixed2") | (F.col("comp1") != F.col("comp2"))
+    once = F.col("inner2") | (F.col("gid1") < F.col("gid2"))
+    on = apart & once & _fits("n1", "n2", num, den) & room
+    most = (F.col("n1") + F.col("n2")) * (den - num)
+    near = (_short_apart("short1", "short2") - F.col("radius1") - F.col("radius2")) * (num + den) <= most
 
-    def pairs(e: DataFrame, on: Column) -> DataFrame:
+    def met(e: DataFrame, on: Column) -> DataFrame:
         x, y = (e.select("h", *[F.col(c).alias(f"{c}{i}") for c in e.columns if c != "h"]) for i in (1, 2))
-        both = x.where("comp1 <> main1").join(y.hint("merge"), "h").where(on)
+        both = x.where(~F.col("inner1")).join(y.hint("merge"), "h").where(on)
         return both.select(F.least("gid1", "gid2").alias("gid1"), F.greatest("gid1", "gid2").alias("gid2"))
 
-    few = pairs(e.where(~F.col("many")), on)
-    groups = few.unionByName(pairs(e.where("many").join(heads, "gid"), on & near)).distinct()
-    x = many.select(F.col("gid").alias("gid1"), F.col("id").alias("a"), F.col("comp").alias("ca"))
-    y = many.select(F.col("gid").alias("gid2"), F.col("id").alias("b"), F.col("comp").alias("cb"))
-    across = groups.join(x, "gid1").join(y, "gid2").where("ca <> cb").select("a", "b")
-    sizes = many.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("gid").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    few = met(e.where(~F.col("many")), on)
+    groups = stash(few.unionByName(met(e.where("many").join(heads, "gid"), on & near)).distinct(), "pairs")
+    wanted = several.select("gid").unionByName(groups.select(F.explode(F.array("gid1", "gid2")).alias("gid")))
+    every = classes.join(wanted, "gid", "left_semi").join(labels, "id").join(bits.select("id", "n", "short"), "id")
+    every = stash(every, "classes")
+    x, y = (every.select(*[F.col(c).alias(f"{c}{i}") for c in every.columns]) for i in (1, 2))
+    # Components of two groups meet before their classes do, as two groups may have many of one.
+    parts = stash(every.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("m")), "parts")
+    one, two = (parts.select(F.col("gid").alias(f"gid{i}"), F.col("comp").alias(f"comp{i}")) for i in (1, 2))
+    across = groups.join(one, "gid1").join(two, "gid2").where("comp1 <> comp2")
+    across = across.join(x, ["gid1", "comp1"]).join(y, ["gid2", "comp2"])
+    main = parts.groupBy("gid").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     main = main.where("lo <> hi").select(F.col("gid").alias("gid1"), "main")
-    x = x.join(main, "gid1").where("ca <> main")
     inside = (
-        x.join(y, F.col("gid1") == F.col("gid2"))
-        .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        x.join(main, "gid1").where("comp1 <> main")
+        .join(y, F.col("gid1") == F.col("gid2"))
+        .where((F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("id1") < F.col("id2"))))
     )
+    alike = _short_apart("short1", "short2") * (num + den) <= most
     # The least class of a component, mostly, is the pivot of its pairs.
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside).distinct()
+    ids = F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")
+    pairs = across.where(alike).select(*ids).unionByName(inside.where(alike).select(*ids)).distinct()
+    return pairs, [e, groups, every, parts]
 
 
 def jaccard_components(
@@ -461,16 +479,19 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, pivot_rounds: int) -> D
     bits = rows.select("id", "n", "bits")
     labels = stash(classes.select("id", F.col("id").alias("comp")), "labels")
     pairs = _first_pairs(entries, several, num, den)
+    read = []
     for r in range(pivot_rounds + 1):
         if r:
-            opened = stash(_open(entries, labels), "entries")
+            opened = stash(_open(entries, several, labels), "entries")
             discard(entries)
             entries = opened
         if r == pivot_rounds:
-            pairs = _all_pairs(entries, classes, labels, rows, num, den)
+            pairs, read = _all_pairs(entries, classes, several, labels, rows, num, den)
         elif r:
             pairs = _pivot_pairs(entries, several, labels, r, num, den)
         pairs = _candidates(pairs, bits, num, den)
+        for each in read:
+            discard(each)
         links = _verify(pairs, docs, k, num, den)
         labels = _merge(labels, links)
         discard(pairs)
