@@ -18,6 +18,7 @@ from twinstring.llm import brown_lm, decontaminate, exact_dedup, html_text, mixi
 from twinstring.llm.exact_dedup import chunks, exact_copies
 from twinstring.llm.language_id import identify
 from twinstring.llm.ngram_join import jaccard_components
+from twinstring.llm.shared import hand_back
 from twinstring.llm.token_orc import Encoder, read_tokens, tokenize, write_tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,6 +33,20 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def test_driver_hands_memory_back(spark):
+    """The join's rounds end what their plans hold on the driver: garbage is collected after each
+    part of a round, and the JVM has the command that gives its allocator's memory back."""
+    assert "Trim native heap" in hand_back(spark)
+    jvm = spark._jvm
+    collectors = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    # Only full collections; those of young objects happen anyway.
+    full = lambda: sum(c.getCollectionCount() for c in collectors if "Old" in c.getName() or "MarkSweep" in c.getName())
+    rows = spark.createDataFrame([(i, f"one two three four five w{i % 3}") for i in range(9)], "doc_id long, text string")
+    before = full()
+    assert {r["component_id"] for r in jaccard_components(rows, pivot_rounds=1).collect()} == {0, 1, 2}
+    assert full() - before >= 6
+
+
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5)])
 def test_jaccard(docs, corpus, k, num, den):
     sets = {}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinstring.llm.shared import components, discard, freed, plain, stash
+from twinstring.llm.shared import collect_garbage, components, discard, freed, plain, stash
 from twinstring.llm.words import blocks, chain, lists, shingle_sets, signed
 
 #: Shingle counts are kept in so many counters, by hash: 1 byte each on executors. The order that
@@ -480,6 +480,8 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, pivot_rounds: int) -> D
     labels = stash(classes.select("id", F.col("id").alias("comp")), "labels")
     pairs = _first_pairs(entries, several, num, den)
     read = []
+    spark = docs.sparkSession
+    collect_garbage(spark)
     for r in range(pivot_rounds + 1):
         if r:
             opened = stash(_open(entries, several, labels), "entries")
@@ -492,10 +494,13 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, pivot_rounds: int) -> D
         pairs = _candidates(pairs, bits, num, den)
         for each in read:
             discard(each)
+        collect_garbage(spark)
         links = _verify(pairs, docs, k, num, den)
+        collect_garbage(spark)
         labels = _merge(labels, links)
         discard(pairs)
         discard(links)
+        collect_garbage(spark)
     discard(entries)
     found = sets.join(labels, "id").select(*key, "comp")
     out = rows.select("id", *key).join(found, key, "left")
