@@ -452,6 +452,19 @@ def test_site_template_goes(spark):
     assert got[500] == ("Short\nTale", 10)
 
 
+def test_numbers_in_names(spark):
+    """Boxes whose classes differ by a number are of two kinds, with text of their own or nested;
+    a page's number on what holds the main part hides no template."""
+    page = lambda i, tail: f'<body class="post-{i}"><div class="x1">Go {i}</div><div class="x2">{"word " * 40}<p>Tale {i}</p></div>{tail}</body>'
+    box = lambda c, t: f'<div class="x{c}">{t}<p>{t}</p></div>'
+    rows = [(i, f"http://h.org/{i}", page(i, box(7, f"Box {i}"))) for i in range(20)]
+    rows += [(20, "http://h.org/20", page(20, box(9, "Once"))), (21, "http://h.org/21", page(21, '<div class="x9"><p>Nested</p></div>'))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    story = lambda i: ("word " * 40).strip() + f"\nTale {i}"
+    assert got == {i: story(i) for i in range(20)} | {20: story(20) + "\nOnce\nOnce", 21: story(21) + "\nNested"}
+
+
 def test_template_hashes_are_those_of_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", html_text.host_of(F.col("url")))
     seen, total = Counter(), Counter()

@@ -4,7 +4,8 @@ Every element of a page is hashed with all it holds, once with its texts and onc
 tags, classes and ids of the subtree and of its place, runs of alike siblings as one, no text. A
 page's main part is the innermost element with more than half of its text. Spark counts hashes
 per host: a skeleton that recurs beside the main parts of many pages of a host, and is seldom a
-main part itself, is template, and so is a subtree that recurs with its very text on most pages.
+main part itself, is template, and so is a subtree that recurs with its very text in different main
+parts, as many as half of the host's pages.
 Templates are deleted from all pages of the host, and what remains is the text.
 
 Names that markup gives to menus, adverts and the like (NAMED, MARKED) are used where counts
@@ -79,10 +80,10 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden
 
 
 class Element:
-    __slots__ = ("hash", "items", "kids", "n", "named", "parts", "shape", "sign", "tag")
+    __slots__ = ("hash", "items", "kids", "kind", "n", "named", "parts", "shape", "sign", "tag")
 
-    def __init__(self, tag: str, sign: str, named: bool):
-        self.tag, self.sign, self.named = tag, sign, named
+    def __init__(self, tag: str, sign: str, kind: str, named: bool):
+        self.tag, self.sign, self.kind, self.named = tag, sign, kind, named
         self.items: list[Element | str] = []
         self.parts = xxhash.xxh64(tag)
         self.kids: list[int] = []
@@ -90,7 +91,7 @@ class Element:
 
     def close(self) -> None:
         self.hash = self.parts.intdigest() - (1 << 63)
-        self.shape = xxhash.xxh64_intdigest(f"{self.sign}{self.kids}")
+        self.shape = xxhash.xxh64_intdigest(f"{self.kind}{self.kids}")
 
     def add(self, done: Element) -> None:
         """A closed child's hashes and characters. Inline elements have no part in a skeleton."""
@@ -104,24 +105,27 @@ class Element:
             self.kids.extend(k for k in done.kids if not self.kids or self.kids[-1] != k)
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag, classes and id of an element, numbers aside, and whether its names say that it is
-    not the article."""
+def _named(tag: str, attributes: str) -> tuple[str, str, bool]:
+    """Tag, classes and id of an element, without numbers and with those of classes, and whether
+    its names say that it is not the article. Elements around a main part may carry the number of
+    their page (``postid-7``), but elsewhere ``x3`` and ``x9`` may be of two kinds."""
     named = tag in MARKED or bool(attributes and _HIDDEN.search(attributes))
-    sign = [tag]
+    sign, kind = [tag], [tag]
     for m in _NAMES.finditer(attributes or ""):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() != "role":
-            sign.append(m[1].lower() + re.sub(r"\d+", "0", " ".join(sorted(value.split()))))
+            name, words = m[1].lower(), " ".join(sorted(value.split()))
+            sign.append(name + re.sub(r"\d+", "0", words))
+            kind.append(name + words if name == "class" else sign[-1])
         if tag not in ("html", "body", "main", "article") and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
             named = True
-    return "|".join(sign), named
+    return "|".join(sign), "|".join(kind), named
 
 
 def parse(page: str) -> Element:
     """A tree of any markup, in one pass: unclosed and stray tags, comments and raw text as
     browsers take them, or nearly so."""
-    root = Element("", "", False)
+    root = Element("", "", "", False)
     stack = [root]
 
     def text(s: str) -> None:
@@ -186,9 +190,9 @@ def parse(page: str) -> Element:
                     last = k
             while last and len(stack) > last:
                 pop()
-        sign, named = _named(tag, m[3])
+        sign, kind, named = _named(tag, m[3])
         named |= tag == "header" and not any(x.tag in ("article", "main") for x in stack)
-        e = Element(tag, sign, named)
+        e = Element(tag, sign, kind, named)
         stack[-1].items.append(e)
         stack.append(e)
         if tag in RAW:
@@ -209,9 +213,9 @@ def parse(page: str) -> Element:
     return root
 
 
-def _placed(path: int, e: Element) -> int:
+def _placed(path: int, e: Element, on_way: bool) -> int:
     """Path of an element's children."""
-    return xxhash.xxh64_intdigest(f"{path}/{e.sign}")
+    return xxhash.xxh64_intdigest(f"{path}/{e.sign if on_way else e.kind}")
 
 
 def _key(path: int, e: Element) -> int:
@@ -242,7 +246,10 @@ ASIDE, ON_WAY, INSIDE = 0, 1, 2
 def subtree_hashes(page: str) -> set[tuple[int, int]]:
     """Distinct hashes of a page's elements, and what each was seen as."""
     root = parse(page)
-    chain = main_part(root)
+    return _hashes(root, main_part(root))
+
+
+def _hashes(root: Element, chain: list[Element]) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     todo: list[tuple[Element, int, int]] = [(root, 0, ON_WAY)]
     way = set(map(id, chain))
@@ -254,7 +261,7 @@ def subtree_hashes(page: str) -> set[tuple[int, int]]:
         elif e.n and e.tag in BLOCKS and e.tag not in ("html", "body"):
             found.add((_key(path, e), seen))
         below = INSIDE if e is chain[-1] else seen
-        inner = _placed(path, e)
+        inner = _placed(path, e, id(e) in way)
         for x in _inner(e):
             if below == ON_WAY:
                 todo.append((x, inner, ON_WAY if id(x) in way else ASIDE))
@@ -272,7 +279,8 @@ def main_text(page: str, template: frozenset[int] = frozenset(), counted: bool =
 
 
 def _remains(root: Element, template: frozenset[int], counted: bool) -> str:
-    part = main_part(root)[-1]
+    chain = main_part(root)
+    part, way = chain[-1], set(map(id, chain))
     lines: list[str] = []
     words: list[str] = []
 
@@ -301,7 +309,7 @@ def _remains(root: Element, template: frozenset[int], counted: bool) -> str:
         if x.tag in BLOCKS:
             flush()
             todo.append((x, 0, False, True))
-        inner = _placed(path, x)
+        inner = _placed(path, x, id(x) in way)
         by_name = by_name or x is part
         todo.extend((y, inner, by_name, False) for y in reversed(x.items))
     flush()
@@ -318,19 +326,26 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, seen = [], [], []
+            hosts, hashes, seen, mains = [], [], [], []
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                each = subtree_hashes(page.as_py() or "")
+                root = parse(page.as_py() or "")
+                chain = main_part(root)
+                each = _hashes(root, chain)
                 hosts.extend([host.as_py()] * len(each))
                 hashes.extend(x[0] for x in each)
                 seen.extend(x[1] for x in each)
+                mains.extend(chain[-1].hash if x[1] == INSIDE else None for x in each)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(seen, pa.int32())], ["host", "hash", "seen"]
+                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(seen, pa.int32()), pa.array(mains, pa.int64())],
+                ["host", "hash", "seen", "main"],
             )
 
     some = pages.where("host <> ''")
-    seen = some.select("host", "html").mapInArrow(freed(run), "host string, hash long, seen int")
-    each = seen.groupBy("host", "hash").agg(*[F.count_if(F.col("seen") == i).alias(f"n{i}") for i in (ASIDE, ON_WAY, INSIDE)])
+    seen = some.select("host", "html").mapInArrow(freed(run), "host string, hash long, seen int, main long")
+    # Copies of one main part say once what is in it, else they would lose what they share.
+    each = seen.groupBy("host", "hash").agg(
+        *[F.count_if(F.col("seen") == i).alias(f"n{i}") for i in (ASIDE, ON_WAY)], F.count_distinct("main").alias(f"n{INSIDE}")
+    )
     many = each.where((F.col("n0") >= TEMPLATE_PAGES) | (F.col("n2") >= TEMPLATE_PAGES))
     total = some.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= TEMPLATE_PAGES)
     beside = (F.col("n0") >= F.greatest(F.lit(TEMPLATE_PAGES), F.col("total") * LEAST_SHARE)) & (F.col("n0") >= BESIDE * F.col("n1"))
