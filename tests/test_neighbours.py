@@ -233,3 +233,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == ACROSS[2]
+
+
+def test_deeper_index_reads_variants_of_the_distance(spark):
+    df = from_iterable(spark, [f"name{i:04d}" for i in range(200)])
+    index = ts.NeighborIndex(df, max_distance=2)
+    shallow = ts.NeighborIndex(df, max_distance=1)
+    assert index.upto(1).count() == shallow.variants.count() < index.variants.count()
+    ts.NeighborIndex(df, max_distance=2, table="deep_index", buckets=4)
+    table = ts.NeighborIndex.open(spark, "deep_index")
+    assert table.upto(1).count() == shallow.variants.count()
+    want = ts.neighbors_within(df, max_distance=1, sort=True).collect()
+    assert want and index.within(1, sort=True).collect() == table.within(1, sort=True).collect() == want
+    assert table.across(index, max_distance=1).count() == 200 + 2 * len(want)
+    for name in ("deep_index", "deep_index_members"):
+        spark.sql(f"DROP TABLE {name}")
+    index.unpersist(), shallow.unpersist()

@@ -36,8 +36,12 @@ def deletion_variants(text: Column, max_distance: int) -> Column:
 
 
 def variant_hashes(text: Column, max_distance: int) -> Column:
-    """64-bit keys of the deletion variants; collisions only cost a verification."""
-    return F.transform(deletion_variants(text, max_distance), lambda v: F.xxhash64(v))
+    """64-bit keys ``h`` of the deletion variants, and their numbers ``k`` of deletions; collisions
+    only cost a verification."""
+    return F.transform(
+        deletion_variants(text, max_distance),
+        lambda v: F.struct(F.xxhash64(v).alias("h"), (F.length(text) - F.length(v)).alias("k")),
+    )
 
 
 def _segment(length: Column, i: Column, max_distance: int) -> tuple[Column, Column]:

@@ -29,10 +29,8 @@ def spread(frame: DataFrame) -> DataFrame:
 
 
 def variant_frame(frame: DataFrame, max_distance: int) -> DataFrame:
-    """``(h, id, str)``: a row per distinct variant of each string."""
-    return frame.select(
-        F.explode(variant_hashes(F.col("str"), max_distance)).alias("h"), "id", "str"
-    )
+    """``(h, id, str, k)``: a row per distinct variant of each string, by k deletions."""
+    return frame.select(F.inline(variant_hashes(F.col("str"), max_distance)), "id", "str").select("h", "id", "str", "k")
 
 
 def verified_pairs(
