@@ -249,3 +249,23 @@ def test_deeper_index_reads_variants_of_the_distance(spark):
     for name in ("deep_index", "deep_index_members"):
         spark.sql(f"DROP TABLE {name}")
     index.unpersist(), shallow.unpersist()
+
+
+def test_rows_of_one_string_are_dealt_out(spark):
+    # One string with thousands of rows, a near one with some, a third of one row.
+    strings = ["abcd"] * 2500 + ["abce"] * 30 + ["abde"] + ["zzzzzz"]
+    random.Random(1).shuffle(strings)
+    df = from_iterable(spark, strings)
+    at = {s: [i for i, t in enumerate(strings) if s == t] for s in set(strings)}
+    met = [("abcd", "abcd", 0), ("abce", "abce", 0), ("abcd", "abce", 1), ("abce", "abde", 1)]
+    want = np.array([(i, j, d) for a, b, d in met for i in at[a] for j in at[b] if a != b or i < j])
+    want[:, :2].sort(axis=1)
+    want = want[np.lexsort(want[:, 1::-1].T)]
+    for pairs in (ts.neighbors_within(df), ts.NeighborIndex(df).within()):
+        got = pairs.withColumn("task", F.spark_partition_id()).toPandas()
+        assert got["task"].nunique() > 2
+        assert (got["task"].value_counts() < 0.7 * len(got)).all()
+        assert (got.sort_values(["row", "col"])[["row", "col", "dist"]].to_numpy() == want).all()
+    assert ts.neighbors_within(df, max_distance=0).count() == (want[:, 2] == 0).sum()
+    across = ts.neighbors_across(df, df).groupBy("dist").count().collect()
+    assert {r["dist"]: r["count"] for r in across} == {0: 2500**2 + 30**2 + 2, 1: 2 * (want[:, 2] == 1).sum()}
