@@ -269,3 +269,15 @@ def test_rows_of_one_string_are_dealt_out(spark):
     assert ts.neighbors_within(df, max_distance=0).count() == (want[:, 2] == 0).sum()
     across = ts.neighbors_across(df, df).groupBy("dist").count().collect()
     assert {r["dist"]: r["count"] for r in across} == {0: 2500**2 + 30**2 + 2, 1: 2 * (want[:, 2] == 1).sum()}
+
+
+def test_sentinels_of_one_nation_are_dealt_out(spark, tmp_path):
+    from twinstring import catalog
+
+    rows = spark.range(3000).select(
+        F.col("id").alias("s_suppkey"), F.format_string("S%06d", "id").alias("s_name"), F.lit(7).alias("s_nationkey")
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog.QUERIES["cutoff_distances"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    n = [r["count"] for r in got]
+    assert sum(n) == 3000 * 2999 // 2 and max(n) < 0.7 * sum(n)

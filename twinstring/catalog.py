@@ -20,7 +20,7 @@ from twinstring.functions import (
 )
 from twinstring.local import CachedRef, Triple, get_neighbors_across, get_neighbors_within
 from twinstring.operators.index import NeighborIndex
-from twinstring.operators.join import neighbors_across, neighbors_within
+from twinstring.operators.join import neighbors_across, neighbors_within, own_pairs
 from twinstring.sources.text import pair_lines, read_lines, write_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,11 +107,14 @@ def _counts(spark, sf):
 
 
 def _sentinels(spark, sf):
-    s = _table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    a = s.select(F.col("s_suppkey").alias("row"), F.col("s_name").alias("a"), "s_nationkey")
-    b = s.select(F.col("s_suppkey").alias("col"), F.col("s_name").alias("b"), "s_nationkey")
-    pairs = a.join(b, "s_nationkey").where("row < col")
-    return pairs.select("row", "col", cutoff_distance(F.col("a"), F.col("b"), 1).alias("dist"))
+    """Nations are few: tasks share pairs of tiles of a nation's suppliers."""
+    s = _table(spark, sf, "supplier").where("s_nationkey IS NOT NULL AND s_suppkey IS NOT NULL")
+    pairs = own_pairs(s.select(F.col("s_nationkey").alias("rep"), F.struct("s_suppkey", "s_name").alias("id")))
+    return pairs.select(
+        F.least("x.s_suppkey", "y.s_suppkey").alias("row"),
+        F.greatest("x.s_suppkey", "y.s_suppkey").alias("col"),
+        cutoff_distance(F.col("x.s_name"), F.col("y.s_name"), 1).alias("dist"),
+    ).where("row < col")
 
 
 def _degrees(spark, sf):

@@ -111,18 +111,21 @@ def below(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def meet(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, single: bool = True) -> DataFrame:
     """Pairs of tiles (row, t1, col, t2, dist) become pairs of their rows, x and y for row and col.
     Tasks are dealt pairs of tiles by the second one, however few strings there are; the number is
-    given, as few bytes make many rows. Strings of one row have no tile."""
+    given, as few bytes make many rows. ``single``: strings of one row occur, and have no tile."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = left.select(F.col("rep").alias("row"), F.col("t").alias("t1"), F.col("ids").alias("xs"))
     b = right.select(F.col("rep").alias("col"), F.col("t").alias("t2"), F.col("ids").alias("ys"))
-    both = pairs.join(a, ["row", "t1"], "left").repartition(parts, "col", "t2")
-    both = both.join(b.repartition(parts, "col", "t2").hint("merge"), ["col", "t2"], "left")
-    ys = F.coalesce("ys", F.array("col"))
+    how = "left" if single else "inner"
+    both = pairs.join(a, ["row", "t1"], how).repartition(parts, "col", "t2")
+    both = both.join(b.repartition(parts, "col", "t2").hint("merge"), ["col", "t2"], how)
+    xs, ys = F.col("xs"), F.col("ys")
+    if single:
+        xs, ys = F.coalesce(xs, F.array("row")), F.coalesce(ys, F.array("col"))
     chunks = F.transform(F.sequence(F.lit(1), F.size(ys), F.lit(CHUNK)), lambda at: F.slice(ys, at, CHUNK))
-    both = both.withColumn("chunk", F.explode(chunks)).withColumn("x", F.explode(F.coalesce("xs", F.array("row"))))
+    both = both.withColumn("chunk", F.explode(chunks)).withColumn("x", F.explode(xs))
     return both.withColumn("y", F.explode("chunk"))
 
 
@@ -143,9 +146,9 @@ def own_tile_pairs(counts: DataFrame) -> DataFrame:
 
 
 def own_pairs(same: DataFrame) -> DataFrame:
-    """(x, y) of rows of one string, in no order: rows of a tile with later ones."""
+    """(x, y) of each two rows (rep, id) of one group, in no order; ids of any type."""
     own = tiles(same)
-    return meet(own_tile_pairs(tile_counts(same)), own, own).where("t1 <> t2 OR x < y")
+    return meet(own_tile_pairs(tile_counts(same)), own, own, single=False).where("t1 <> t2 OR x < y")
 
 
 def most_rows(reps: DataFrame) -> int:
