@@ -281,3 +281,27 @@ def test_sentinels_of_one_nation_are_dealt_out(spark, tmp_path):
     got = catalog.QUERIES["cutoff_distances"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     n = [r["count"] for r in got]
     assert sum(n) == 3000 * 2999 // 2 and max(n) < 0.7 * sum(n)
+
+
+@pytest.mark.parametrize("d", [0, 1, 2, 3])
+def test_variant_frame(spark, d):
+    from twinstring.operators.join import variant_frame
+
+    rng = random.Random(d)
+    strings = ["", "a", "aa", "aba", "abab", *("".join(rng.choices("ab", k=rng.randrange(9))) for _ in range(60))]
+    want = set()
+    for i, s in enumerate(strings):
+        level = {s}
+        for k in range(d + 1):
+            want |= {(i, v, k) for v in level}
+            level = {v[:p] + v[p + 1 :] for v in level for p in range(len(v))}
+    hashed = spark.createDataFrame(sorted(want), "id long, v string, k int").select("id", F.xxhash64("v").alias("h"), "k")
+    got = variant_frame(from_iterable(spark, strings), d).select("id", "h", "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hashed.collect()))
+
+
+def test_variants_of_two_deletions_are_no_arrays(spark):
+    plan = ts.neighbors_within(from_iterable(spark, QUERY), max_distance=2)._jdf.queryExecution().toString()
+    assert "array_distinct" not in plan
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "levenshtein" in line]
+    assert joins and all(line.index("(row#") < line.index("levenshtein") for line in joins)
