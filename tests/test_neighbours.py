@@ -305,3 +305,13 @@ def test_variants_of_two_deletions_are_no_arrays(spark):
     assert "array_distinct" not in plan
     joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "levenshtein" in line]
     assert joins and all(line.index("(row#") < line.index("levenshtein") for line in joins)
+
+
+def test_strings_of_one_length(spark):
+    rng = random.Random(3)
+    for n, letters in ((1, "abc"), (2, "ab"), (5, "ab"), (5, "0123")):
+        strings = ["key" + "".join(rng.choices(letters, k=n)) for _ in range(150)]
+        got = ts.neighbors_within(from_iterable(spark, strings), max_distance=2, sort=True)
+        assert [tuple(r) for r in got.collect()] == brute_within(strings, 2)
+    plan = got._jdf.queryExecution().toString()
+    assert "(m#" in plan and "levenshtein(str" not in plan

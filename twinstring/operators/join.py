@@ -16,10 +16,13 @@ equi-join on (length, segment number, content), verified in the same way.
 
 from __future__ import annotations
 
+from functools import reduce
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinstring.functions import probe_hashes, segment_hashes, variant_hashes
+from twinstring.functions import is_ascii, probe_hashes, segment_hashes, variant_hashes
 from twinstring.plans.checks import VARIANT_LIMIT, check_distance, check_strings, long_from, normalise
 
 
@@ -29,6 +32,10 @@ TILE = 1024
 CHUNK = 64
 
 
+#: Characters of strings of one length that are compared by masks at distance 2.
+MASKED = 64
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """A single small file would be expanded by one task."""
     want = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -112,6 +119,34 @@ def equal_pairs(same: DataFrame, most: int) -> DataFrame:
     return a.join(b, "rep").where("row < col").select("row", "col", F.lit(0).alias("dist"))
 
 
+def mask_pairs(frame: DataFrame, n: int) -> DataFrame:
+    """Pairs row < col within distance 2 of distinct ASCII strings that all have n characters, such
+    as numbers. Those that differ in one or two places meet where just these are masked, once and
+    without others; what is left loses a character in one place and gets one in another."""
+    mask = "\u00bf"
+    text, i, j = F.col("str"), F.col("i"), F.col("j")
+    two = frame.select("id", "str", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    two = two.select("id", "str", "i", F.explode(F.sequence(i, F.lit(n))).alias("j"))
+    parts = [F.substring(text, F.lit(1), i - 1), F.lit(mask), F.substring(text, i + 1, j - i - 1)]
+    m = F.concat(*parts, F.when(i < j, mask).otherwise(""), F.substring(text, j + 1, F.lit(n)))
+    at = lambda p: F.ascii(F.substring(text, p, F.lit(1)))
+    masked = two.select("id", m.alias("m"), at(i).alias("c"), at(j).alias("d"), (i < j).alias("both"))
+    masked = masked.withColumn("h", F.xxhash64("m"))
+    a = masked.select("h", F.col("id").alias("row"), "m", "c", "d", "both")
+    b = masked.toDF("id", "m2", "c2", "d2", "both2", "h2").withColumnRenamed("id", "col").hint("merge")
+    on = (F.col("h") == F.col("h2")) & (F.col("row") < F.col("col")) & (F.col("c") != F.col("c2"))
+    on = on & (F.col("d") != F.col("d2")) & (F.col("m") == F.col("m2"))
+    replaced = a.join(b, on).select("row", "col", F.when(F.col("both"), 2).otherwise(1).alias("dist"))
+
+    once = variant_frame(frame, 1).where("k = 1")
+    a = once.select("h", F.col("id").alias("row"), F.col("str").alias("a"))
+    b = once.select("h", F.col("id").alias("col"), F.col("str").alias("b")).hint("merge")
+    differ = [F.when(F.substring("a", k, 1) != F.substring("b", k, 1), 1).otherwise(0) for k in range(1, n + 1)]
+    on = (a["h"] == b["h"]) & (F.col("row") < F.col("col")) & (reduce(lambda x, y: x + y, differ) > 2)
+    moved = a.join(b, on & (F.levenshtein(F.col("a"), F.col("b"), 2) == 2)).select("row", "col").distinct()
+    return replaced.unionByName(moved.withColumn("dist", F.lit(2)))
+
+
 def tiles(same: DataFrame) -> DataFrame:
     """``(rep, t, nt, ids)``: the rows of each of ``members``'s strings by hash in nt tiles, each a
     sorted array."""
@@ -211,10 +246,24 @@ def within_variants(variants: DataFrame, same: DataFrame, max_distance: int, mos
 
 def within_frames(frame: DataFrame, max_distance: int, long: bool = False, variant_limit: int = VARIANT_LIMIT) -> DataFrame:
     reps = representatives(frame)
-    same, most = members(frame, reps), most_rows(reps)
+    same = members(frame, reps)
+    size = F.length("str")
+    seen = reps.agg(
+        F.max("n"), F.min("str"), F.max("str"), F.min(size), F.max(size), F.bool_and(is_ascii(F.col("str")))
+    ).first()
+    most, first, last, least, longest, ascii_only = seen
+    most = most or 0
     if max_distance == 0:
         return equal_pairs(same, most)
-    return with_repeats(rep_pairs(reps, reps, max_distance, True, long, variant_limit), same, most)
+    if long or not most:
+        return with_repeats(rep_pairs(reps, reps, max_distance, True, long, variant_limit), same, most)
+    # What all strings begin with has no part in distances.
+    begin = len(commonprefix([first, last]))
+    cores = reps.select("id", F.substring("str", begin + 1, longest).alias("str"))
+    n = longest - begin
+    if max_distance == 2 and least == longest and ascii_only and 0 < n <= MASKED:
+        return with_repeats(mask_pairs(spread(cores), n), same, most)
+    return with_repeats(rep_pairs(cores, cores, max_distance, True, long, variant_limit), same, most)
 
 
 def across_frames(
